@@ -40,7 +40,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame
     last = F.greatest(F.size("w") - n + 1, F.lit(1))
     spans = F.transform(F.sequence(F.lit(1), last), lambda i: F.slice("w", i, n))
     rows = words.select("item", F.explode(spans).alias("words"))
-    return rows.groupBy("words").agg(F.array_compact(F.collect_set("item")).alias("items")).select(F.xxhash64(*[F.get("words", F.lit(i)) for i in range(n)]).alias("key"), "words", "items")
+    return rows.groupBy("words").agg(F.array_compact(F.collect_set("item")).alias("items")).select(F.xxhash64("words").alias("key"), "words", "items")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
@@ -63,20 +63,14 @@ def find_hits(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "
     # here to the join is one stage of generated code: no array is built for a window.
     last = F.greatest(F.size("w") - min(lengths, default=n) + 1, F.lit(0))
     probes = rows.select("doc", "w", "row", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    if len(lengths) > 1:
-        probes = probes.select("*", F.explode(F.when(F.col("pos") == 0, F.array(F.lit(0))).otherwise(F.lit(lengths))).alias("len"))
-        fits = (F.col("pos") > 0) & (F.col("pos") + F.col("len") - 1 <= F.size("w"))
-        window = [F.when(F.col("len") > i, F.get("w", F.col("pos") - 1 + i)) for i in range(n)]
-    else:
-        length = lengths[0] if lengths else n
-        probes = probes.withColumn("len", F.lit(length))
-        fits = F.col("pos") > 0
-        window = [F.get("w", F.col("pos") - 1 + i) for i in range(length)]
+    lens = F.when(F.col("pos") == 0, F.array(F.lit(0))).otherwise(F.lit(lengths or [n]))
+    probes = probes.select("*", F.explode(lens).alias("len")) if len(lengths) > 1 else probes.withColumn("len", F.lit(max(lengths, default=n)))
+    fits = (F.col("pos") > 0) & (F.col("pos") + F.col("len") - 1 <= F.size("w"))
+    window = F.slice("w", F.greatest(F.col("pos"), F.lit(1)), F.col("len"))
     # The hash finds, the words confirm.  when() keeps the words out of the join's key,
     # which stays one long.
-    key = F.xxhash64(*window) == F.col("item_key")
-    confirmed = F.when(F.col("items").isNotNull(), F.slice("w", F.greatest(F.col("pos"), F.lit(1)), F.col("len")) == F.col("item_words"))
-    found = probes.join(known, key & fits & confirmed, "left")
+    confirmed = F.when(F.col("items").isNotNull(), window == F.col("item_words"))
+    found = probes.join(known, (F.xxhash64(window) == F.col("item_key")) & fits & confirmed, "left")
     own = F.col("pos") == 0
     return (
         found.where(own | F.col("items").isNotNull())
