@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import decontam, mixing, sharding
+from quillstrata.llm import decontam, flac, langid, mixing, sharding, toxicity, urlfilter
 from quillstrata.llm.common import table
 
 
@@ -12,17 +12,47 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).drop("text")
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(flac.store(table(spark, sf_dir, "documents")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op7_sharding": op7_sharding,
+    "op8_flac": op8_flac,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
