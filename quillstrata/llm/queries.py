@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import decontam, flac, langid, mixing, sharding, toxicity, urlfilter
+from quillstrata.llm import decontam, flac, langid, mixing, sharding, substring, toxicity, urlfilter
 from quillstrata.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).drop("text")
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op6_substring": op6_substring,
     "op7_sharding": op7_sharding,
     "op8_flac": op8_flac,
     "op9_toxicity": op9_toxicity,
