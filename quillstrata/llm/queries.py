@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import decontam, flac, langid, mixing, sharding, substring, toxicity, urlfilter
+from quillstrata.llm import decontam, flac, langid, mixing, ngram_join, sharding, substring, toxicity, urlfilter
 from quillstrata.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op6_substring": op6_substring,
     "op7_sharding": op7_sharding,
     "op8_flac": op8_flac,
