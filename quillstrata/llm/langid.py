@@ -161,10 +161,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def predict(docs: DataFrame, model: Ppm | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with lang_pred and score."""
+def predict(docs: DataFrame, model: Ppm | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns with the predicted language and its score, under `names`."""
     source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in carry]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in carry]).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +173,14 @@ def predict(docs: DataFrame, model: Ppm | None, text: str = "text", carry: tuple
             texts = batch.column(batch.num_columns - 1)
             letters = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             if m is None or not batch.num_rows:
-                names, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+                found, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
                 bits = code_lengths(m, *text_buffers(texts))
                 best = bits.argmin(1)
                 share = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                names = [m.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
+                found = [m.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, share, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*carry, *names])
 
     return source.mapInArrow(run, schema)
 
@@ -210,11 +210,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(slim, model, "text", ("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are in a language: those without a letter go."""
-    model = fit(docs, text=text)
-    names = docs.columns
-    kept = predict(docs, model, text, tuple(names)) if not {"lang_pred", "score"} & set(names) else None
-    if kept is None:
-        raise ValueError("columns named lang_pred or score would clash; rename them first")
-    return kept.where(F.col("lang_pred") != "und").select(*[F.col(f"`{c}`") for c in names])
+    own = tuple(docs.columns)
+    marked = predict(docs, fit(docs, doc_id, text, lang), text, own, ("__language", "__share"))
+    return marked.where(F.col("__language") != "und").select(*[F.col(f"`{c}`") for c in own])

@@ -122,3 +122,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     done = placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
     out = done.select("doc_id", "size", "source_size", "target", "taken", "position", *(["doc"] if carry else []))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", repeats: int = 3) -> DataFrame:
+    """The rows of docs as the mix uses them, in order of position: as often as their
+    taken words come nearest to (0 to `repeats` times), all columns kept."""
+    mixed = mix(docs, doc_id, text, source, repeats, carry=True)
+    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    return mixed.withColumn("__times", times).where(F.col("__times") > 0).select("doc", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).select("doc.*")

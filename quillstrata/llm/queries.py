@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import decontam, flac, langid, mixing, ngram_join, sharding, substring, toxicity, urlfilter
+from quillstrata.llm import decontam, flac, langid, mixing, ngram_join, quality, sharding, substring, toxicity, urlfilter
 from quillstrata.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op5_ngram_join": op5_ngram_join,
     "op6_substring": op6_substring,
     "op7_sharding": op7_sharding,
