@@ -100,6 +100,11 @@ def register(name: str, parser: Parser | str) -> None:
     _PARSERS[name] = parser
 
 
+def adopt(parsers: dict[str, Parser | str]) -> None:
+    """Takes the driver's registrations over in a worker."""
+    _PARSERS.update(parsers)
+
+
 def lookup(name: str) -> Parser:
     p = _PARSERS[name]
     if isinstance(p, str):
@@ -173,7 +178,7 @@ def parse(files: DataFrame, handler: str | Column, key: str, path: str, content:
     known = dict(_PARSERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _PARSERS.update(known)
+        adopt(known)
         for b in batches:
             rows = []
             for k, h, p, t in zip(*(c.to_pylist() for c in b.columns), strict=True):

@@ -15,7 +15,8 @@ WORKSPACE_FILES = ["db.sqlite3*", "manifest.json*"]
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), size_bytes, modified_at, content of every file."""
+    """path (below root), size_bytes, modified_at, content of every file whose name does
+    not begin with a dot or an underscore."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     full = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", "")
     base = re.sub(r"^[a-z]+:(//[^/]*)?", "", root).rstrip("/")
@@ -71,20 +72,35 @@ def ignored(path: Column, patterns: list[tuple[str, str]]) -> Column:
     return out
 
 
-def read_ignore_files(found: DataFrame, name: str = ".gitignore") -> list[tuple[str, str]]:
-    """(folder, line) of the ignore files of a scan: small files, read on the driver."""
-    own = found.where((F.col("path") == name) | F.col("path").endswith("/" + name)).select("path", F.decode("content", "utf-8").alias("t")).orderBy("path")
-    return [(r["path"][: -len(name)].rstrip("/"), line) for r in own.collect() for line in r["t"].splitlines()]
-
-
-def visible(found: DataFrame, workspace: list[str] = [], mode: str = "combined") -> DataFrame:  # noqa: B006
+def read_ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> list[tuple[str, str]]:
+    """(folder, line) of the ignore files below a root.  Spark's readers pass over names
+    that begin with a dot, so these small files are read through the file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    found, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() == name:
+            stream = fs.open(path)
+            try:
+                text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            folder = path.getParent().toUri().getPath()[len(base) :].strip("/")
+            found += [(folder, line) for line in text.splitlines()]
+    return sorted(found, key=lambda x: x[0])
+
+
+def visible(found: DataFrame, repo: list[tuple[str, str]], workspace: list[str] = [], mode: str = "combined") -> DataFrame:  # noqa: B006
     """Files that neither ignore files (mode repo or combined) nor workspace patterns
     (workspace or combined) leave out."""
     if mode not in ("repo", "workspace", "combined"):
         raise ValueError(f"unknown mode {mode}")
-    repo = read_ignore_files(found) if mode != "workspace" else []
+    lines = repo if mode != "workspace" else []
     own = [("", p) for p in (*WORKSPACE_FILES, *workspace)] if mode != "repo" else []
-    return found.where(~(ignored(F.col("path"), repo) | ignored(F.col("path"), own)))
+    return found.where(~(ignored(F.col("path"), lines) | ignored(F.col("path"), own)))
 
 
 def scoped(found: DataFrame, scope: list[str]) -> DataFrame:
