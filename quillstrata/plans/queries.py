@@ -225,7 +225,7 @@ def sync_limit(spark: SparkSession, sf: str) -> DataFrame:
 def vector_normalized(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
     v = vectors.normalize(F.transform("embedding", lambda x: x * 3))
-    return e.select("vec_id", F.round(vectors.norm(F.transform("embedding", lambda x: x * 3)), 6).alias("norm_before"), F.round(vectors.norm(v), 6).alias("norm_after"), F.round(F.get(v, F.lit(0)), 3).alias("first"))
+    return e.select("vec_id", F.round(vectors.norm(F.transform("embedding", lambda x: x * 3)), 6).alias("norm_before"), F.round(vectors.norm(v), 6).alias("norm_after"), F.round(F.abs(F.get(v, F.lit(0))), 3).alias("first"))
 
 
 def _knn(metric: str):

@@ -127,7 +127,7 @@ SELECT count(*) FILTER (batch_id = 'b1' AND last_seen_batch = 'b2') AS chunks_re
     "sync_plan": f"{MATERIALIZED} SELECT count(*) AS total, count(*) FILTER (symbol_id NOT IN (SELECT doc_id::VARCHAR FROM labels)) AS embed, count(*) FILTER (symbol_id IN (SELECT doc_id::VARCHAR FROM labels)) AS skipped FROM done",
     "sync_limit": f"{MATERIALIZED} SELECT symbol_id, token_count FROM done WHERE symbol_id NOT IN (SELECT doc_id::VARCHAR FROM labels) ORDER BY symbol_id LIMIT 100",
     "vector_normalized": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::DOUBLE) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM e), u AS (SELECT *, list_transform(x, lambda y: y / n) AS y FROM n)
-SELECT vec_id, round(n, 6) AS norm_before, round(sqrt(list_inner_product(y, y)), 6) AS norm_after, round(y[1], 3) AS first FROM u""",
+SELECT vec_id, round(n, 6) AS norm_before, round(sqrt(list_inner_product(y, y)), 6) AS norm_after, round(abs(y[1]), 3) AS first FROM u""",
     "knn_cosine": knn("list_inner_product(q.x, e.x)", "DESC"),
     "knn_ip": knn("list_inner_product(q.x, e.x)", "DESC"),
     "knn_l2": knn("list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(q.x, e.x)])", "ASC"),
