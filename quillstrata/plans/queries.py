@@ -80,9 +80,9 @@ def text_chunk_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks, tokens and distinct contents of every source."""
-    docs = read(spark, sf, "documents")
-    hashed = chunking.with_hashes(chunking.text_chunks(docs)).join(docs.select(F.col("doc_id").alias("d"), "source"), F.col("doc_id") == F.col("d"))
-    return hashed.groupBy("source").agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("tokens"), F.count_distinct("content_hash").alias("contents"))
+    docs = read(spark, sf, "documents").select(F.struct("doc_id", "source").alias("file"), "text")  # the source travels with the key: no join
+    hashed = chunking.with_hashes(chunking.text_chunks(docs, "file"))
+    return hashed.groupBy(F.col("file.source").alias("source")).agg(F.count("*").alias("chunks"), F.sum("token_count").cast("long").alias("tokens"), F.count_distinct("content_hash").alias("contents"))
 
 
 def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
