@@ -146,6 +146,8 @@ f AS (
     "vdb_reset_counts": f"{ALIGN} SELECT (SELECT count(*) FROM c WHERE vdb_id = 'en') AS chunks_deleted, (SELECT count(*) FROM v WHERE vdb_id = 'en') AS vectors_deleted, 1::BIGINT AS vdbs_deleted",
     "bounded_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, least(count(*), 5001) AS seen, CASE WHEN count(*) > 5000 THEN 'row-limit' ELSE 'counted' END AS reason FROM {t}" for t in TABLES),
     "run_summary_text": f"{STAGED} SELECT 'ok: ' || (SELECT count(*) FROM documents WHERE length(text) > 0) || ' files parsed, ' || count(*) FILTER (op = 'insert') || ' chunks written, ' || count(*) FILTER (op = 'touch') || ' reused' AS summary FROM staged",
+    "uuid7_timestamps": """WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 * 4096 + 1792 AS v FROM events)
+SELECT event_id, ms, array_to_string([substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', ((v >> (55 - 5 * i)) & 31)::INT + 1, 1) FOR i IN range(12)], '') AS short FROM e""",
     "selectors": "SELECT source, lang AS batch, count(*) AS n FROM documents GROUP BY source, lang",
     "age_in_days": "SELECT floor((epoch(TIMESTAMP '2026-01-01 06:00:00') - floor(epoch(ts))) / 86400)::BIGINT AS days, count(*) AS events FROM events GROUP BY 1",
     "ledger": "SELECT sha256(string_agg(n_name || ':' || sha256(n_name), '|' ORDER BY n_nationkey)) AS checksum FROM nation",
