@@ -19,8 +19,10 @@ most (|x| + |y|) (den - num) / (den + num) shingles.
    pairs grow with members, not with their square.  Verified pairs are contracted.
 4. The rest.  Buckets whose members, the hub aside, are still of several components
    compare those pairs by parity sketches (a bound that cannot miss a link) inside the
-   task, and then exactly, joining as they go; what leaves the task is at most one link
-   for each member.  Buckets above `BUCKET` members are dealt as pairs of blocks.
+   task.  Where at most two pairs for each member are left, the pairs leave it and are
+   compared exactly, once for all buckets; else the members do, and their sets are
+   compared inside a task, joining as they go, so that what leaves it is at most one
+   link for each member.  Buckets above `BUCKET` members are dealt as pairs of blocks.
 5. Links are contracted to components; a component's id is its smallest document id.
 
 Shingles are compared by 64-bit hashes.  Two sets that share a 64-bit class key while
@@ -288,17 +290,23 @@ def verify(pairs: DataFrame, info: DataFrame, n: int, num: int, den: int) -> Dat
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([r.column(0).filter(mask), r.column(1).filter(mask)], names=["a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    likely = sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(screen, "a long, b long")
+    return compare(likely, info, n, num, den)
+
+
+def compare(pairs: DataFrame, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets link, by their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for r in batches:
             keep = [linked(_unpack(x, n, hashes), _unpack(y, n, hashes), num, den) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([r.column(0).filter(mask), r.column(1).filter(mask)], names=["a", "b"])
 
-    likely = sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(screen, "a long, b long")
     wa = info.select(F.col("cls").alias("a"), F.col("words").alias("wa"))
     wb = info.select(F.col("cls").alias("b"), F.col("words").alias("wb"))
-    return likely.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
+    return pairs.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def may_link(x: np.ndarray, y: np.ndarray, differ: int) -> bool:
@@ -372,14 +380,22 @@ def rest(posts: DataFrame, roots: DataFrame, info: DataFrame, n: int, num: int,
         sizes, roots = table.column("size").to_numpy(), table.column("root").to_numpy()
         side = table.column("side").to_numpy() if key[1].as_py() != key[2].as_py() else None
         found = np.zeros(len(sizes), bool)
+        left, right, few = [], [], 2 * len(sizes)
         sketches = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
         for i, j in likely_pairs(sizes, sketches, roots, bands, side):
             found[i] = True
             found[j] = True
-        return table.select(["sig", "p", "q", "side", "cls", "root"]).filter(pa.array(found))
-
-    kept = drawn.groupBy("sig", "p", "q").applyInArrow(near, "sig long, p int, q int, side int, cls long, root long")
-    held = kept.join(info.select("cls", "size", "sketch", "words"), "cls")
+            if len(left) <= few:
+                left += [i] * len(j)
+                right += j.tolist()
+        table = table.select(["sig", "p", "q", "side", "cls", "root"])
+        if len(left) <= few:  # few pairs: each is compared once, however many buckets find it
+            return table.take(pa.array(left, pa.int64())).append_column("other", table.column("cls").take(pa.array(right, pa.int64())).cast(pa.int64()))
+        return table.filter(pa.array(found)).append_column("other", pa.nulls(int(found.sum()), pa.int64()))
+
+    marked = cut(drawn.groupBy("sig", "p", "q").applyInArrow(near, "sig long, p int, q int, side int, cls long, root long, other long"), "likely")
+    pairs = marked.where(F.col("other").isNotNull()).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    held = marked.where(F.col("other").isNull()).drop("other").join(info.select("cls", "size", "sketch", "words"), "cls")
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         bands, hashes = Bands(num, den), Hashes()
@@ -395,7 +411,7 @@ def rest(posts: DataFrame, roots: DataFrame, info: DataFrame, n: int, num: int,
                     out.append((cls[i], cls[j]))
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
-    return held.groupBy("sig", "p", "q").applyInArrow(settle, "a long, b long").distinct()
+    return compare(pairs, info, n, num, den).unionByName(held.groupBy("sig", "p", "q").applyInArrow(settle, "a long, b long")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
