@@ -26,10 +26,12 @@ Defined results
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from quillstrata.llm.common import crc32_of, cut
 
 ORDER = 4
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 SHARD_BYTES = 16 << 20
 PRIOR = 300
 QUANTILE = 0.99
@@ -63,11 +65,11 @@ def compose(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[dict
     """
     pad = ORDER - 1
     lengths = np.diff(starts)
-    place = np.arange(len(text)) + np.repeat(np.arange(1, len(lengths) + 1) * pad, lengths)
     padded = np.zeros(len(text) + pad * len(lengths), np.uint8)
-    padded[place] = text
-    real = np.zeros(len(padded), bool)
-    real[place] = True
+    real = np.ones(len(padded), bool)
+    blanks = (starts[:-1] + np.arange(len(lengths)) * pad)[:, None] + np.arange(pad)
+    real[blanks.ravel()] = False
+    padded[real] = text
     codes = np.full(256, -1, np.int32)
     used = np.unique(np.append(padded, np.uint8(0)))
     codes[used] = np.arange(len(used))
@@ -75,9 +77,10 @@ def compose(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[dict
     tables = [{"gram": np.zeros(1, np.int64), "prefix": np.zeros(1, np.int32), "suffix": np.zeros(1, np.int32)}]
     below = np.zeros(len(padded), np.int32)  # numbers of the order below, by last place
     for _ in range(ORDER):
-        before = np.empty_like(below)
-        before[0], before[1:] = 0, below[:-1]
-        slot = before * np.int32(a) + c
+        slot = np.empty_like(below)
+        slot[0], slot[1:] = 0, below[:-1]
+        slot *= np.int32(a)
+        slot += c
         there = np.zeros(len(tables[-1]["gram"]) * a, bool)
         there[slot] = True
         slots = np.flatnonzero(there)
@@ -196,27 +199,34 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
 def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     """id, lang, n (bytes), bits of every row of docs (id, lang number, text)."""
 
+    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[bytes]]]:
+        # A block's number follows from its partition and place, so that both passes
+        # over the documents make the same blocks; `finish` checks that they did.
+        task = TaskContext.get().partitionId()
+        for made, (lang, ids, texts) in enumerate(_runs(batches)):
+            yield task << 32 | made, lang, ids, texts
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        task, made = TaskContext.get().partitionId(), 0
-        for lang, ids, texts in _runs(batches):
-            block, made = task << 32 | made, made + 1
+        for block, lang, _, texts in cut_blocks(batches):
             text, starts = _join(texts)
-            rows = [(-1, ids, np.diff(starts).tolist(), squeeze(text.tobytes()))]
-            if len(text):
-                keys = np.concatenate([_key(lang, o, t["gram"]) for o, t in enumerate(compose(text, starts)[1])])
-                shard = _shard(keys, shards)
-                order = np.argsort(shard, kind="stable")
-                edges = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows += [(s, None, None, squeeze(keys[order[edges[s] : edges[s + 1]]].tobytes())) for s in range(shards) if edges[s] < edges[s + 1]]
-            n = len(rows)
+            if not len(text):
+                continue
+            keys = np.concatenate([_key(lang, o, t["gram"]) for o, t in enumerate(compose(text, starts)[1])])
+            shard = _shard(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [(s, squeeze(keys[order[edges[s] : edges[s + 1]]].tobytes())) for s in range(shards) if edges[s] < edges[s + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "shard", "blob"])
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, lang, ids, texts in cut_blocks(batches):
+            sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([lang] * n, pa.int32()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()),
-                ],
+                [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([lang], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(b"".join(texts))], pa.binary())],
                 names=["block", "shard", "lang", "ids", "sizes", "blob"],
-            )
+            )
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         key = held.column("key").to_numpy()
@@ -229,7 +239,8 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             hit = key[at] == want if len(key) else np.zeros(len(want), bool)
             got = [np.where(hit, v[at], np.float32("nan")) if len(key) else np.full(len(want), np.nan, np.float32) for v in values]
-            blobs.append(zstandard.ZstdCompressor(level=1).compress(np.concatenate(got).tobytes()))
+            mark = struct.pack("<Q", xxhash.xxh64_intdigest(want.tobytes()))
+            blobs.append(mark + zstandard.ZstdCompressor(level=1).compress(np.concatenate(got).tobytes()))
         none = pa.nulls(len(blobs))
         return pa.table([asked.column("block"), asked.column("shard"), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["block", "shard", "lang", "ids", "sizes", "blob"])
 
@@ -244,7 +255,13 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             number, tables, real = compose(text, starts)
             keys = np.concatenate([_key(lang, o, t["gram"]) for o, t in enumerate(tables)])
             order = np.argsort(_shard(keys, shards), kind="stable")
-            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(table.column("blob")[rows[s]].as_py()), np.float32) for s in sorted(rows) if s >= 0]
+            shard, got = _shard(keys, shards)[order], []
+            for s in np.unique(shard).tolist():
+                blob = table.column("blob")[rows[s]].as_py() if s in rows else b""
+                asked_for = struct.pack("<Q", xxhash.xxh64_intdigest(keys[order[shard == s]].tobytes()))
+                if blob[:8] != asked_for:
+                    raise ValueError("a block's n-grams are not those that were asked for: the input's partitions changed")
+                got.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.float32))
             p, gamma = np.empty(len(keys), np.float64), np.empty(len(keys), np.float64)
             p[order] = np.concatenate([g[: len(g) // 2] for g in got])
             gamma[order] = np.concatenate([g[len(g) // 2 :] for g in got])
@@ -261,10 +278,10 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         return pa.table({"id": pa.array(ids, pa.int64()), "lang": pa.array([lang] * len(ids), pa.int32()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.float64())})
 
     layout = "block long, shard int, lang int, ids array<long>, sizes array<long>, blob binary"
-    asked = cut(docs.mapInArrow(ask, layout), "blocks")
+    asked = docs.mapInArrow(ask, "block long, shard int, blob binary")
     held = model.withColumn("shard", (F.col("key") % PRIME % shards).cast("int"))
-    answers = asked.where(F.col("shard") >= 0).select("block", "shard", "blob").groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, layout)
-    return asked.where(F.col("shard") < 0).unionByName(answers).groupBy("block").applyInArrow(finish, "id long, lang int, n long, bits double")
+    answers = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, layout)
+    return docs.mapInArrow(hand_on, layout).unionByName(answers).groupBy("block").applyInArrow(finish, "id long, lang int, n long, bits double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", folds: int = 5, quantile: float = QUANTILE) -> DataFrame:
