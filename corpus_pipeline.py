@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstrata.llm import decontam, langid, mixing, ngram_join, sharding
-from quillstrata.llm.common import cut, table
+from quillstrata.llm.common import cut, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, which no language claims, go."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8, the smallest id stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 

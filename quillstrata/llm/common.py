@@ -47,6 +47,14 @@ def drop_cut(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session, unless it set a
+    number of its own: a batch is bounded in rows, not bytes, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept (lower() would change others)."""
     plain = F.octet_length(text) == F.char_length(text)
