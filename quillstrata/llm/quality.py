@@ -12,7 +12,7 @@ every document is scored.
 
 A document's bits for each byte, shrunk towards its language's mean by `PRIOR` bytes so
 that a short text is not judged by chance, give its perplexity.  A document is kept up
-to the `QUANTILE` of its language's held-out trusted documents, times `SLACK`.
+to the `QUANTILE` of its language's held-out trusted documents.
 
 Defined results
     null or empty text            0 bytes, the language's mean, kept
@@ -44,7 +44,6 @@ BLOCK_BYTES = 3 << 20
 SHARD_BYTES = 16 << 20
 PRIOR = 300
 QUANTILE = 0.99
-SLACK = 1.1
 #: Trusted ids up to which their table is broadcast to pick training text.
 BROADCAST_IDS = 2_000_000
 PRIME = 2147483647
@@ -309,7 +308,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     limits = held.join(means, F.col("name") == F.col("m")).groupBy("name").agg(F.percentile_approx(rate, quantile, 10000).alias("limit"), F.first("mean").alias("mean"))
     limits = limits.withColumnRenamed("name", "m")  # a row for each language
     joined = scored.join(F.broadcast(limits), F.col("name") == F.col("m"), "left").withColumn("rate", F.coalesce(rate, F.col("bits") / F.col("n")))
-    judged = joined.select("id", F.col("name").alias("lang"), "n", F.pow(F.lit(2.0), "rate").alias("perplexity"), (F.pow(F.lit(2.0), "limit") * SLACK).alias("threshold"))
+    judged = joined.select("id", F.col("name").alias("lang"), "n", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"))
     other = numbered.where(F.col("lang") < 0).select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     blank = other.select("id", F.lit(None).cast("string").alias("lang"), "n", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -312,3 +312,15 @@ def test_quality_tells_junk(spark):
     got = queries.op4_quality(spark, sf).join(labels, "doc_id").collect()
     good, bad = [r["keep"] for r in got if r["quality"] == 1], [r["keep"] for r in got if r["quality"] == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.4 * len(bad)
+
+
+def test_quality_threshold_is_the_quantile_itself(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.op4_quality(spark, sf).join(labels, "doc_id").collect()
+    for lang in {r["lang"] for r in got}:
+        own = [r for r in got if r["lang"] == lang]
+        held = sorted(r["perplexity"] for r in own if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert all(r["threshold"] == pytest.approx(held[-(-99 * len(held) // 100) - 1], rel=1e-9) for r in own)
+    bad = [r["keep"] for r in got if r["quality"] == 0]
+    assert sum(bad) <= 0.1 * len(bad)
