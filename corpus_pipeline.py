@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, the smallest id stays."""
+    """Of documents linked by five-word shingles at 0.8, one row of the smallest id stays."""
     small_batches(spark)
     return ngram_join.keep_one(docs)
 

@@ -32,7 +32,7 @@ Defined results
     null text or no words    empty set, size 0, its own component
     fewer than n words       the whole sequence as one shingle
     null id                  after all others; its component is null if alone
-    repeated rows            equal sets, so one component
+    repeated rows            equal sets, so one component; keep_one keeps one of them
     ties                     the smallest id names the component
     very long texts          whole; sketches grow with the set
     empty table              no rows
@@ -49,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,10 +198,17 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def prepare(docs: DataFrame, doc_id: str, text: str, n: int, least: int) -> DataFrame:
+def row_key(doc_id: str, text: str) -> Column:
+    """A digest of id and text: equal for repeated rows alone, null id and text included."""
+    marked = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text), F.lit("")))
+    return F.unhex(F.md5(marked.cast("binary")))
+
+
+def prepare(docs: DataFrame, doc_id: str, text: str, n: int, least: int, key: Column | None = None) -> DataFrame:
     """id, size, cls and chk (keys of the set), sketch and words (packed; null where the
-    set is too small to link with another)."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    set is too small to link with another), key (null unless asked for)."""
+    own = F.lit(None).cast("binary") if key is None else key
+    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), own.alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1).compress
@@ -217,11 +224,11 @@ def prepare(docs: DataFrame, doc_id: str, text: str, n: int, least: int) -> Data
                 drawn.append(sketch(x) if len(x) >= least else None)
                 packed.append(squeeze(b" ".join(words)) if len(x) >= least else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(drawn, pa.binary()), pa.array(packed, pa.binary())],
-                names=["id", "size", "cls", "chk", "sketch", "words"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(drawn, pa.binary()), pa.array(packed, pa.binary()), b.column(2)],
+                names=["id", "size", "cls", "chk", "sketch", "words", "key"],
             )
 
-    return slim.mapInArrow(run, "id long, size long, cls long, chk long, sketch binary, words binary")
+    return slim.mapInArrow(run, "id long, size long, cls long, chk long, sketch binary, words binary, key binary")
 
 
 def _unpack(blob: bytes, n: int, hashes: Hashes) -> np.ndarray:
@@ -454,13 +461,13 @@ def _settle_labels(labels: DataFrame) -> DataFrame:
         labels = done.drop("moved")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (default: five words, 0.8)."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """id, size, cls and key of every row; and of every class its root and its first
+    row (id, null last, and key)."""
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
         raise TypeError("ids must be whole numbers")
-    kind = docs.schema[doc_id].dataType
     least = Bands(num, den).least
-    base = cut(prepare(docs, doc_id, text, n, least), "sets")
+    base = cut(prepare(docs, doc_id, text, n, least, key), "sets")
     posts = cut(postings(base, n, num, den), "postings")
     involved = posts.select("cls").distinct()
     info = base.where(F.col("words").isNotNull()).join(involved, "cls", "left_semi")
@@ -471,11 +478,19 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     second = rest(posts, roots, info, n, num, den)
     roots = components(first.union(second))
 
-    keyed = base.select("id", "size", "cls", "chk")
-    classes = keyed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.coalesce("id", F.lit(LAST))).alias("least"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
-    sound = F.when(F.col("c0") == F.col("c1"), F.col("least")).otherwise(F.raise_error(F.lit("two sets share a class key")).cast("long"))
-    classes = classes.select("cls", sound.alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component"))
+    keyed = base.select("id", "size", "cls", "chk", "key")
+    first = F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "key"))
+    classes = keyed.where(F.col("cls").isNotNull()).groupBy("cls").agg(first.alias("least"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    sound = F.when(F.col("c0") == F.col("c1"), F.col("least.id")).otherwise(F.raise_error(F.lit("two sets share a class key")).cast("long"))
+    classes = classes.select("cls", F.struct(sound.alias("id"), F.col("least.key").alias("key")).alias("least"))
+    return keyed.drop("chk"), classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (default: five words, 0.8)."""
+    kind = docs.schema[doc_id].dataType
+    keyed, classes = _grouped(docs, doc_id, text, n, num, den)
+    named = classes.groupBy("root").agg(F.min("least.id").alias("component"))
     whole = classes.select("cls", "root").join(named, "root").select("cls", "component")
     out = keyed.select("id", "size", "cls").join(whole.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left")
     component = F.coalesce("component", "id")
@@ -485,6 +500,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group."""
-    names = link(docs, doc_id, text, n, num, den).where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__kept")).distinct()
-    return docs.join(names, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component: that of the smallest id (null last), then the smallest
+    digest of id and text.  Texts without words lose their repeated rows only."""
+    key = row_key(doc_id, text)
+    keyed, classes = _grouped(docs, doc_id, text, n, num, den, key)
+    firsts = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__kept"))
+    names = firsts.unionByName(keyed.where(F.col("cls").isNull()).select(F.col("key").alias("__kept")).distinct())
+    rows = docs.withColumn("__key", key).join(names, F.col("__key") == F.col("__kept"), "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0)]
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*others)))
+    return rows.withColumn("__place", place).where("__place = 1").drop("__key", "__place")

@@ -52,6 +52,16 @@ def test_keep_one_keeps_columns_and_one_of_each_group(docs, rows):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_keep_one_counts_rows(spark):
+    one, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one)] * 5 + [(1, other)] + [(2, one), (None, one)] + [(None, third)] * 3 + [(None, third + " x"), (None, other), (4, ""), (4, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    alone = [r for r in kept if r[0] is None]
+    assert len(alone) == 1 and alone[0][1] in (third, third + " x")
+    assert sorted((r for r in kept if r[0] is not None), key=repr) == sorted([(1, one), (1, other), (4, ""), (5, ""), (6, None)], key=repr)
+
+
 def test_rest_finds_links_that_no_hub_shares(spark):
     """A chain of near copies around no common centre, in one bucket of many members."""
     base = [f"w{i}" for i in range(120)]
