@@ -289,10 +289,13 @@ def vdb_reset_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_request_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of every document in greedy requests of at most 16 texts and 8191 tokens."""
+    """Chunks of every document in greedy requests of at most 16 texts and 8191 tokens,
+    with their full token counts.  A chunk above the limit, which batches() refuses, is
+    alone in its request and marked too_large."""
+    limits = embedding.Limits(16, 8191)
     c = chunking.text_chunks(read(spark, sf, "documents"))
-    packed = embedding.packed_batches(c, ["doc_id"], "part_index", F.least(T.request_tokens(F.col("content_text")), F.lit(8191)), embedding.Limits(16, 8191))
-    return packed.groupBy("doc_id", "request").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
+    packed = embedding.packed_batches(c, ["doc_id"], "part_index", T.request_tokens(F.col("content_text")), limits)
+    return packed.groupBy("doc_id", "request").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"), F.max(F.col("tokens") > limits.tokens).alias("too_large"))
 
 
 def embed_hash_provider(spark: SparkSession, sf: str) -> DataFrame:

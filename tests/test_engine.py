@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillstrata.operators import batches, embedding, health, recompose, staging, vectors
+from quillstrata.operators import batches, chunking, embedding, health, recompose, staging, vectors
 from quillstrata.operators.embedding import Limits
 from quillstrata.plans import ingest, migrations, queries, sql
 from quillstrata.sources import documents, scan
@@ -197,6 +197,26 @@ def test_native_packing_equals_batches(spark):
             assert all(got[g, i] == n for i in run)
 
 
+def test_requests_count_every_token(spark, sf):
+    got = queries.QUERIES["embed_request_batches"](spark, sf).collect()
+    by = {}
+    for r in chunking.text_chunks(queries.read(spark, sf, "documents")).select("doc_id", "part_index", "content_text").collect():
+        by.setdefault(r["doc_id"], []).append((r["part_index"], embedding.request_tokens(r["content_text"])))
+    want = []
+    for doc, parts in by.items():
+        runs, used = [], 0
+        for _, n in sorted(parts):
+            if not runs or len(runs[-1]) == 16 or used + n > 8191:
+                runs.append([])
+                used = 0
+            runs[-1].append(n)
+            used += n
+        want += [(doc, i, len(r), sum(r), max(r) > 8191) for i, r in enumerate(runs)]
+    assert sorted((r["doc_id"], r["request"], r["texts"], r["tokens"], r["too_large"]) for r in got) == sorted(want)
+    large = [r for r in got if r["too_large"]]
+    assert large and all(r["texts"] == 1 for r in large) and all(r["tokens"] <= 8191 for r in got if not r["too_large"])
+
+
 def test_health(spark):
     s = spark.createDataFrame([("a", True, True, "t", True, None), ("b", False, False, None, None, "2024-01-01")], "name string, enabled boolean, exists boolean, target string, readable boolean, refreshed_at string")
     found = health.sources(s, AT(1))
