@@ -14,7 +14,9 @@ most (|x| + |y|) (den - num) / (den + num) shingles.
    more than e empty segments.  Where it costs less (small sets), half as many segments
    are used, with signatures of every content less one shingle beside: then two sets
    that miss every signature differ by two in each segment.  Sets with more than e empty
-   segments also sign those.
+   segments also sign those.  Equal signatures come from equal segments, so signatures
+   go in passes over residues of the segment number, as many as keep the signatures of
+   one pass near the size of the text; what a pass shuffled goes before the next.
 3. Hubs.  In each bucket of equal signatures every class is paired with one of them, so
    pairs grow with members, not with their square.  Verified pairs are contracted.
 4. The rest.  Buckets whose members, the hub aside, are still of several components
@@ -59,8 +61,13 @@ from quillstrata.llm.substring import LAST, MIX, _mix, window_hashes
 #: Size ratio of a band; rivals that a weak signature is taken to meet.
 RATIO, CROWD = 1.2, 50.0
 SKETCH_BITS = 512
-BUCKET = 2048
+#: Members, and their shingles, of a block of a large bucket.
+BUCKET, BUCKET_SHINGLES = 2048, 4 << 20
+#: Members that are compared with one copy of their hub's text.
+HUB_BLOCK = 64
 BATCH_BYTES = 4 << 20
+#: Shuffled bytes of a signature, and of signatures in a pass for each byte of text.
+SIGN_BYTES, PASS_SHARE = 14, 1.0
 
 
 @dataclass(frozen=True)
@@ -120,6 +127,10 @@ class Bands:
             first -= 1
         return list(range(first, own + 1))
 
+    def signs(self, size: int) -> int:
+        """Signatures of a set of this size, its empty segments aside."""
+        return sum(b.segments + size * b.deletions for b in map(self.all.__getitem__, self.of(size)))
+
 
 class Hashes(dict):
     """Word -> hash; remembers up to a bound."""
@@ -157,8 +168,9 @@ def fold(s: np.ndarray, size: int) -> np.ndarray:
     return s
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) for sets of hashes."""
+def signatures(sets: list[np.ndarray], bands: Bands, turn: int = 0, passes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of its set) for sets of hashes; of several passes, those of the
+    segments whose number leaves `turn`."""
     by: dict[int, list[int]] = {}
     for i, x in enumerate(sets):
         for g in bands.of(len(x)):
@@ -171,25 +183,32 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         x = np.concatenate([sets[i] for i in members])
         who = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
         slot = who * m + (_mix(x ^ seed) % np.uint64(m)).astype(np.int64)
+        filled = np.zeros(len(members) * m, bool)
+        filled[slot] = True
+        if passes > 1:
+            due = slot % m % passes == turn
+            x, slot = x[due], slot[due]
         order = np.argsort(slot, kind="stable")
         slot, value = slot[order], _mix(x[order] + seed)
-        start = np.flatnonzero(np.diff(slot, prepend=-1))
-        total = np.add.reduceat(value, start)
-        used = slot[start]
         member = np.array(members, np.int64)
         salt = lambda place: seed ^ ((place % m).astype(np.uint64) * MIX)
-        sigs.append(_mix(total ^ salt(used)))
-        owners.append(member[used // m])
-        if band.deletions:
-            lengths = np.diff(np.append(start, len(slot)))
-            less = np.repeat(total, lengths) - value
-            sigs.append(_mix(less ^ salt(slot)))
-            owners.append(member[slot // m])
-        empty = m - np.bincount(used // m, minlength=len(members))
-        for j in np.flatnonzero(empty > band.empties):
-            place = np.setdiff1d(np.arange(m), used[used // m == j] % m)
-            sigs.append(_mix(salt(place)))
-            owners.append(np.full(len(place), members[j]))
+        if len(slot):
+            start = np.flatnonzero(np.diff(slot, prepend=-1))
+            total = np.add.reduceat(value, start)
+            used = slot[start]
+            sigs.append(_mix(total ^ salt(used)))
+            owners.append(member[used // m])
+            if band.deletions:
+                lengths = np.diff(np.append(start, len(slot)))
+                less = np.repeat(total, lengths) - value
+                sigs.append(_mix(less ^ salt(slot)))
+                owners.append(member[slot // m])
+        filled = filled.reshape(len(members), m)
+        bare = np.flatnonzero(m - filled.sum(1) > band.empties)
+        row, place = np.nonzero(~filled[bare])
+        own = place % passes == turn
+        sigs.append(_mix(salt(place[own])))
+        owners.append(member[bare[row[own]]])
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -204,45 +223,51 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(marked.cast("binary")))
 
 
-def prepare(docs: DataFrame, doc_id: str, text: str, n: int, least: int, key: Column | None = None) -> DataFrame:
+def prepare(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, key: Column | None = None) -> DataFrame:
     """id, size, cls and chk (keys of the set), sketch and words (packed; null where the
-    set is too small to link with another), key (null unless asked for)."""
+    set is too small to link with another), key (null unless asked for), and the bytes of
+    the text and number of signatures."""
     own = F.lit(None).cast("binary") if key is None else key
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), own.alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1).compress
+        hashes, squeeze, bands = Hashes(), zstandard.ZstdCompressor(level=1).compress, Bands(num, den)
+        least = bands.least
         for b in batches:
-            size, cls, chk, drawn, packed = [], [], [], [], []
+            size, cls, chk, drawn, packed, bulk, signs = [], [], [], [], [], [], []
             for t in b.column(1).to_pylist():
-                words = [] if t is None else t.encode().lower().split()
+                raw = b"" if t is None else t.encode()
+                words = raw.lower().split()
                 x = shingles(words, n, hashes)
                 size.append(len(x))
+                bulk.append(len(raw))
+                signs.append(bands.signs(len(x)))
                 key = xxhash.xxh3_128_intdigest(x.tobytes())
                 cls.append((key >> 64) - (1 << 63) if len(x) else None)
                 chk.append((key & (1 << 64) - 1) - (1 << 63) if len(x) else None)
                 drawn.append(sketch(x) if len(x) >= least else None)
                 packed.append(squeeze(b" ".join(words)) if len(x) >= least else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(drawn, pa.binary()), pa.array(packed, pa.binary()), b.column(2)],
-                names=["id", "size", "cls", "chk", "sketch", "words", "key"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(drawn, pa.binary()), pa.array(packed, pa.binary()), b.column(2), pa.array(bulk, pa.int64()), pa.array(signs, pa.int64())],
+                names=["id", "size", "cls", "chk", "sketch", "words", "key", "bytes", "signs"],
             )
 
-    return slim.mapInArrow(run, "id long, size long, cls long, chk long, sketch binary, words binary, key binary")
+    return slim.mapInArrow(run, "id long, size long, cls long, chk long, sketch binary, words binary, key binary, bytes long, signs long")
 
 
 def _unpack(blob: bytes, n: int, hashes: Hashes) -> np.ndarray:
     return shingles(zstandard.ZstdDecompressor().decompress(blob).split(), n, hashes)
 
 
-def postings(base: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, cls, hub of every bucket with at least two classes; the hub is one of them."""
+def postings(base: DataFrame, n: int, num: int, den: int, turn: int = 0, passes: int = 1) -> DataFrame:
+    """sig, cls, hub of every bucket of a pass with at least two classes; the hub is the
+    smallest of them.  Buckets stream by in order, so one of any size fits in memory."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, hashes = Bands(num, den), Hashes()
 
         def rows(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-            sig, owner = signatures(list(held.values()), bands)
+            sig, owner = signatures(list(held.values()), bands, turn, passes)
             cls = np.array(list(held), np.int64)[owner]
             return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls)], names=["sig", "cls"])
 
@@ -261,24 +286,31 @@ def postings(base: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield rows(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # of the bucket that the last batch left open: sig, hub, the last class, was the hub handed on
+        sig, hub, cls, told = 0, 0, 0, True
+        began = False
         for b in batches:
-            sig.append(b.column(0).to_numpy())
-            cls.append(b.column(1).to_numpy())
-        s, c = np.concatenate(sig), np.concatenate(cls)
-        order = np.lexsort((c, s))
-        s, c = s[order], c[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
-        start = np.flatnonzero(np.diff(s, prepend=s[:1] - 1) != 0) if len(s) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(s)))
-        wide = np.repeat(count > 1, count)
-        hub = np.repeat(c[start], count)
-        yield pa.RecordBatch.from_arrays([pa.array(s[wide]), pa.array(c[wide]), pa.array(hub[wide])], names=["sig", "cls", "hub"])
+            s, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if began:
+                fresh = (s != sig) | (c != cls)
+                s, c = np.concatenate([[sig], s[fresh]]), np.concatenate([[hub], c[fresh]])
+            if len(s) < 1 + began:
+                continue
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+            s, c = s[new], c[new]
+            start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            count = np.diff(np.append(start, len(s)))
+            wide = np.repeat(count > 1, count)
+            hubs = np.repeat(c[start], count)
+            open_told = count[-1] > 1 or (began and told and len(start) == 1)
+            if began and told:
+                wide[0] = False
+            sig, hub, cls, told, began = s[-1], hubs[-1], c[-1], open_told, True
+            yield pa.RecordBatch.from_arrays([pa.array(s[wide]), pa.array(c[wide]), pa.array(hubs[wide])], names=["sig", "cls", "hub"])
 
     signed = base.where(F.col("words").isNotNull()).select("cls", "words").mapInArrow(sign, "sig long, cls long")
-    return signed.repartition("sig").mapInArrow(meet, "sig long, cls long, hub long")
+    return signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(meet, "sig long, cls long, hub long")
 
 
 def verify(pairs: DataFrame, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -297,23 +329,37 @@ def verify(pairs: DataFrame, info: DataFrame, n: int, num: int, den: int) -> Dat
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([r.column(0).filter(mask), r.column(1).filter(mask)], names=["a", "b"])
 
-    likely = sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(screen, "a long, b long")
-    return compare(likely, info, n, num, den)
+    likely = cut(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(screen, "a long, b long"), "likely")
+    out = cut(compare(likely, info, n, num, den), "verified")
+    drop_cut(likely)
+    return out
 
 
 def compare(pairs: DataFrame, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link, by their words."""
+    """Those of pairs (a, b) whose sets link, by their words.  The words of a are sent once
+    for each block of about HUB_BLOCK partners, and partners stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, hub, x = Hashes(), None, None
         for r in batches:
-            keep = [linked(_unpack(x, n, hashes), _unpack(y, n, hashes), num, den) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([r.column(0).filter(mask), r.column(1).filter(mask)], names=["a", "b"])
-
-    wa = info.select(F.col("cls").alias("a"), F.col("words").alias("wa"))
-    wb = info.select(F.col("cls").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            for p, block, q, words in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                if q is None:
+                    hub, x = (p, block), _unpack(words, n, hashes)
+                elif (p, block) != hub:
+                    raise ValueError("a block came without its hub")
+                elif linked(x, _unpack(words, n, hashes), num, den):
+                    a.append(p)
+                    b.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    members = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_BLOCK).alias("blocks"))
+    dealt = pairs.join(members, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+    words = info.select("cls", "words")
+    hubs = dealt.select("a", "block").distinct().join(words, F.col("a") == F.col("cls")).select("a", "block", F.lit(None).cast("long").alias("b"), "words")
+    partners = dealt.join(words, F.col("b") == F.col("cls")).select("a", "block", "b", "words")
+    rows = hubs.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def may_link(x: np.ndarray, y: np.ndarray, differ: int) -> bool:
@@ -359,28 +405,15 @@ def likely_pairs(sizes: np.ndarray, sketches: list[np.ndarray], roots: np.ndarra
 
 def rest(posts: DataFrame, roots: DataFrame, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links among members of a bucket that the hub did not join."""
-    named = posts.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["sig", "cls", "hub", "root"]), *batches]
-        sig, cls, hub, root = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
-        other = cls != hub
-        sig, cls, root = sig[other], cls[other], root[other]
-        order = np.lexsort((cls, root, sig))
-        sig, cls, root = sig[order], cls[order], root[order]
-        edge = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1) != 0) if len(sig) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(sig)))
-        mixed = np.repeat(root[edge] != root[edge + count - 1], count) if len(sig) else np.zeros(0, bool)
-        members = np.repeat(count, count)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[mixed]), pa.array(cls[mixed]), pa.array(root[mixed]), pa.array(members[mixed])], names=["sig", "cls", "root", "members"])
-
-    mixed = named.select("sig", "cls", "hub", "root").repartition("sig").mapInArrow(several, "sig long, cls long, root long, members long")
+    named = posts.where("cls != hub").join(roots, "cls", "left").join(info.select("cls", "size"), "cls").select("sig", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    buckets = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("size").alias("shingles"))
+    mixed = named.join(buckets.where("low != high").select("sig", "members", "shingles"), "sig")
     # Large buckets are dealt as pairs of blocks: every two members meet in one of them.
-    blocks = F.ceil(F.col("members") / BUCKET).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BUCKET, F.col("shingles") / BUCKET_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, block).alias("p"), F.greatest(o, block).alias("q"), block.alias("side")))
-    dealt = mixed.select("sig", "cls", "root", F.explode(pairs).alias("at")).select("sig", "cls", "root", "at.p", "at.q", "at.side")
-    drawn = dealt.join(info.select("cls", "size", "sketch"), "cls")
+    dealt = mixed.select("sig", "cls", "root", "size", F.explode(pairs).alias("at")).select("sig", "cls", "root", "size", "at.p", "at.q", "at.side")
+    drawn = dealt.join(info.select("cls", "sketch"), "cls")
 
     def near(key: tuple, table: pa.Table) -> pa.Table:
         bands = Bands(num, den)
@@ -418,7 +451,11 @@ def rest(posts: DataFrame, roots: DataFrame, info: DataFrame, n: int, num: int,
                     out.append((cls[i], cls[j]))
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
-    return compare(pairs, info, n, num, den).unionByName(held.groupBy("sig", "p", "q").applyInArrow(settle, "a long, b long")).distinct()
+    pairs = cut(pairs, "pairs")
+    found = cut(compare(pairs, info, n, num, den).unionByName(held.groupBy("sig", "p", "q").applyInArrow(settle, "a long, b long")).distinct(), "found")
+    drop_cut(marked)
+    drop_cut(pairs)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -438,13 +475,17 @@ def components(links: DataFrame) -> DataFrame:
         after = edges.join(x, "a").join(y, "b").where(F.col("ta") != F.col("tb"))
         shrunk = cut(after.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
         drop_cut(edges)
-        edges = shrunk
+        edges, prior = shrunk, labels
         new = hook.select(F.col("node").alias("cls"), F.col("to").alias("root"))
         if labels is not None:
             moved = labels.join(hook, labels["root"] == hook["node"], "left")
             old = moved.select("cls", F.coalesce("to", "root").alias("root"))
             new = old.unionByName(new.join(labels.select("cls"), "cls", "left_anti"))
         labels = cut(new, "labels")
+        drop_cut(hook)
+        if prior is not None:
+            drop_cut(prior)
+    drop_cut(edges)
     if labels is None:
         return links.sparkSession.createDataFrame([], "cls long, root long")
     return _settle_labels(labels)
@@ -456,29 +497,43 @@ def _settle_labels(labels: DataFrame) -> DataFrame:
         up = labels.select(F.col("cls").alias("n"), F.col("root").alias("to"))
         moved = labels.join(up, labels["root"] == up["n"], "left")
         done = cut(moved.select("cls", F.coalesce("to", "root").alias("root"), (F.coalesce("to", "root") != F.col("root")).alias("moved")), "labels")
+        drop_cut(labels)
         if done.where("moved").isEmpty():
             return done.drop("moved")
         labels = done.drop("moved")
 
 
+def passes_for(base: DataFrame) -> int:
+    """Passes that keep the signatures of each within PASS_SHARE of the text."""
+    total = base.agg(F.sum("signs"), F.sum("bytes")).first()
+    return max(1, math.ceil((total[0] or 0) * SIGN_BYTES / (PASS_SHARE * max(total[1] or 0, 1 << 20))))
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """id, size, cls and key of every row; and of every class its root and its first
     row (id, null last, and key)."""
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
         raise TypeError("ids must be whole numbers")
-    least = Bands(num, den).least
-    base = cut(prepare(docs, doc_id, text, n, least, key), "sets")
-    posts = cut(postings(base, n, num, den), "postings")
+    base = cut(prepare(docs, doc_id, text, n, num, den, key), "sets")
+    passes = passes_for(base)
+    turns = [cut(postings(base, n, num, den, turn, passes), "postings") for turn in range(passes)]
+    posts = turns[0]
+    for t in turns[1:]:
+        posts = posts.unionByName(t)
     involved = posts.select("cls").distinct()
     info = base.where(F.col("words").isNotNull()).join(involved, "cls", "left_semi")
     info = cut(info.groupBy("cls").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("words").alias("words")), "members")
-    pairs = posts.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    first = cut(verify(pairs, info, n, num, den), "verified")
-    roots = components(first)
-    second = rest(posts, roots, info, n, num, den)
+    keyed = cut(base.select("id", "size", "cls", "chk", "key"), "keys")
+    drop_cut(base)
+    pairs = cut(posts.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    first = verify(pairs, info, n, num, den)
+    drop_cut(pairs)
+    joined = components(first)
+    second = rest(posts, joined, info, n, num, den)
     roots = components(first.union(second))
+    for t in (*turns, info, first, second, joined):
+        drop_cut(t)
 
-    keyed = base.select("id", "size", "cls", "chk", "key")
     first = F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "key"))
     classes = keyed.where(F.col("cls").isNotNull()).groupBy("cls").agg(first.alias("least"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
     sound = F.when(F.col("c0") == F.col("c1"), F.col("least.id")).otherwise(F.raise_error(F.lit("two sets share a class key")).cast("long"))
