@@ -12,12 +12,16 @@ of the trees, and scoring a text is one table look-up for each of its bytes.
 The language with the shortest code wins; the score is its share of the
 probability, 2**-bits over the sum over all languages.
 
-Training reads a bounded sample: about `per_language` documents of each language,
-picked by a hash of their id (a documented bound; the trees hold no more with more
-text, they only get sharper).  Scoring reads every whole text.
+Training reads a bounded sample: about `per_language` documents of each language, and
+no more than `SAMPLE_BYTES` for each of them on average, picked by a hash of their id (a
+documented bound; the trees hold no more with more text, they only get sharper).
+Scoring reads every whole text.  The table has a row for each context and symbol and a
+column for each language; above `TABLE_BYTES` (about 200 languages of 400 documents)
+training stops with an error rather than exceed what a driver and its executors hold.
 
 Defined results
-    null text or text without a letter   `und`, score 0
+    null text or text without a letter   `und`, score 0 (a letter is of Unicode's category
+                                         L; digits, fractions and marks alone are none)
     no training rows                     `und` for all
     ties                                 the language first in code point order
     repeated rows                        each gets its row; equal texts, equal results
@@ -27,12 +31,12 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,12 @@ from quillstrata.llm.common import crc32_of
 
 ORDER = 3
 PER_LANGUAGE = 400
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of training text for each document asked for, on average: longer documents
+#: are picked less often, so the sample is bounded in bytes too.
+SAMPLE_BYTES = 8 << 10
+#: Largest table of code lengths that is built and sent to the executors.
+TABLE_BYTES = 1 << 30
 #: Bytes that are scored at once.
 CHUNK = 1 << 20
 SPREAD = 1 << 30
@@ -103,6 +112,8 @@ def train(samples: list[tuple[str, str]]) -> Ppm | None:
     contexts = np.zeros(a**ORDER, np.int32)
     for k in range(ORDER + 1):
         keys = np.zeros(1, np.int64) if k == 0 else np.unique(np.concatenate([g[k][0] // a for g in grams]))
+        if (base + len(keys)) * a * len(languages) * 4 > TABLE_BYTES:
+            raise ValueError(f"{len(languages)} languages need a table above {TABLE_BYTES} bytes; train on fewer documents")
         table = np.empty((len(keys), a, len(languages)))
         parent = None if k == 0 else np.searchsorted(parent_keys, keys // a)
         for i, g in enumerate(grams):
@@ -186,11 +197,13 @@ def predict(docs: DataFrame, model: Ppm | None, text: str = "text", carry: tuple
 
 
 def sample(docs: DataFrame, label: str, key: str, text: str, each: int) -> list[tuple[str, str]]:
-    """About `each` (label, text) of every label, picked by a hash of the key."""
-    counts = {r[label]: r["count"] for r in docs.groupBy(label).count().collect()}
-    if not counts:
+    """About `each` (label, text) of every label, picked by a hash of the key; fewer where
+    texts are longer than SAMPLE_BYTES on average."""
+    sizes = docs.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).collect()  # a row for each language
+    if not sizes:
         return []
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(SPREAD, int(SPREAD * each / n)))])
+    share = {r[label]: min(1.0, each / r["n"], each * SAMPLE_BYTES / max(r["bytes"], 1)) for r in sizes}
+    limits = F.create_map(*[F.lit(x) for k, part in share.items() for x in (k, int(SPREAD * part))])
     spread = F.pmod(F.xxhash64(key), F.lit(SPREAD))
     rows = docs.where(spread < F.element_at(limits, F.col(label))).select(label, text).collect()
     return [(r[0], r[1]) for r in rows]
