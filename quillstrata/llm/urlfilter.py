@@ -3,18 +3,22 @@
 Rules are strings host + path (a path starts with `/`, a host holds none, so a rule
 splits in one way).  Their 64-bit xxhash digests form one sorted array in a file that
 every worker memory-maps; beside it lie the rules themselves.  A url gives one
-candidate for each suffix of its host and each rule-path length, and the digests of
-all candidates of a batch are found by one vectorised binary search.  Every digest
-found is confirmed against the stored string, so collisions cannot decide.  Among the
-rules that fit, the longest wins.
+candidate for each suffix of its host with as many labels as some rule's host and each
+rule-path length, and the digests of all candidates of a batch are found by one
+vectorised binary search.  Every digest found is confirmed against the stored string, so
+collisions cannot decide.  Among the rules that fit, the longest wins.
 
-The file goes to the executors with SparkContext.addFile, which gives it to executors
-that join later too.  Above `FILE_BYTES` the rules are joined on the digest instead.
+The file is written in a temporary folder of the driver, which SparkContext.addFile
+serves to the executors, those that join later too.  Rules come as a list, or as a
+DataFrame (verdict, rule) of any size; above `FILE_BYTES` the rules are joined on the
+digest instead, with the same candidates.
 
 Defined results
     null url or no `://`   host and path empty; no rule; the default verdict
     no rule fits           rule null, the default verdict
     equal rules            the verdict of the one first in order (block before allow)
+    rule without `/`       a host with the empty path: fits all paths
+    null rule              no rule
     empty rules or table   the default for all; no rows
     repeated rows          each gets its row
     extra columns          ignored
@@ -68,8 +72,10 @@ def pack(rules: list[Rule]) -> bytes:
             best[rule] = verdict
     ordered = sorted(best, key=lambda r: (digest(r), r))
     strings = [r.encode() for r in ordered]
-    lengths = sorted({len(r[r.index("/") :]) for r in ordered})
-    meta = json.dumps({"verdicts": [best[r] for r in ordered], "lengths": lengths}).encode()
+    hosts = [r.partition("/")[0] for r in ordered]
+    lengths = sorted({len(r) - len(h) for r, h in zip(ordered, hosts, strict=True)})
+    labels = sorted({h.count(".") + 1 for h in hosts})
+    meta = json.dumps({"verdicts": [best[r] for r in ordered], "lengths": lengths, "labels": labels}).encode()
     offsets = np.cumsum([0, *map(len, strings)], dtype=np.int64)
     digests = np.array([digest(r) for r in ordered], np.uint64)
     return struct.pack("<qq", len(ordered), len(meta)) + digests.tobytes() + offsets.tobytes() + b"".join(strings) + meta
@@ -85,7 +91,7 @@ class Index:
         self.offsets = raw[16 + 8 * n : 24 + 16 * n].view(np.int64)
         self.strings = raw[24 + 16 * n : len(raw) - tail]
         meta = json.loads(raw[len(raw) - tail :].tobytes())
-        self.verdicts, self.lengths = meta["verdicts"], meta["lengths"]
+        self.verdicts, self.lengths, self.labels = meta["verdicts"], meta["lengths"], meta["labels"]
 
     def rule(self, i: int) -> bytes:
         return self.strings[self.offsets[i] : self.offsets[i + 1]].tobytes()
@@ -94,7 +100,7 @@ class Index:
         """The winning rule and its verdict of each url."""
         texts, owner = [], []
         for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            for text in candidates(host, path, self.lengths):
+            for text in candidates(host, path, self.lengths, self.labels):
                 texts.append(text)
                 owner.append(k)
         rules: list[str | None] = [None] * len(hosts)
@@ -111,14 +117,16 @@ class Index:
         return rules, verdicts
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """Every host suffix (at label borders) with every path beginning of a rule's length."""
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> Iterator[str]:
+    """Every host suffix of a rule's number of labels with every path beginning of a
+    rule's length."""
     heads = [path[:n] for n in lengths if n <= len(path)]
-    labels = host.split(".")
-    for i in range(len(labels)):
-        suffix = ".".join(labels[i:])
-        for head in heads:
-            yield suffix + head
+    parts = host.split(".")
+    for n in labels:
+        if n <= len(parts):
+            suffix = ".".join(parts[len(parts) - n :])
+            for head in heads:
+                yield suffix + head
 
 
 def _file(spark: SparkSession, packed: bytes) -> str:
@@ -131,12 +139,18 @@ def _file(spark: SparkSession, packed: bytes) -> str:
     return name
 
 
-def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict of every url."""
     spark = pages.sparkSession
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("__url"))
     host, path = split_url(F.col("__url"))
     parts = slim.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    if isinstance(rules, DataFrame):
+        rules = rules.where(F.col("rule").isNotNull()).select("verdict", "rule")
+        if (rules.agg(F.sum(F.octet_length("rule") + 40)).first()[0] or 0) > FILE_BYTES:
+            return judge_by_join(parts, rules, default)
+        rules = [tuple(r) for r in rules.collect()]  # at most FILE_BYTES
+    rules = [r for r in rules if r[1] is not None]
     packed = pack(rules)
     if len(packed) > FILE_BYTES:
         return judge_by_join(parts, spark.createDataFrame(rules, "verdict string, rule string"), default)
@@ -158,11 +172,17 @@ def judge_by_join(parts: DataFrame, rules: DataFrame, default: str = DEFAULT) ->
     best = rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("b"))
     best = best.select("rule", F.when(F.col("b"), "block").otherwise("allow").alias("verdict"), F.xxhash64("rule").alias("digest"))
     rows = parts.withColumn("row", F.struct(F.monotonically_increasing_id(), "page_id", "host", "path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    texts = rows.select("row", F.explode(suffixes).alias("s"), heads.alias("h")).select("row", F.explode("h").alias("h"), "s")
+    # what a url can be asked about: one row for each number of labels and path length of a rule
+    host = F.substring_index("rule", "/", 1)
+    counts = F.size(F.split(host, r"\."))
+    labels = sorted(r[0] for r in best.select(counts.alias("n")).distinct().collect())  # at most the labels of the longest host
+    lengths = sorted(r[0] for r in best.select((F.length("rule") - F.length(host)).alias("n")).distinct().collect())  # at most the longest path
+    if not labels:
+        return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    suffixes = F.transform(F.filter(F.lit(labels), lambda n: n <= F.size(F.split("host", r"\."))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    heads = F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    texts = rows.select("row", F.explode_outer(suffixes).alias("s"), heads.alias("h")).select("row", F.explode_outer("h").alias("h"), "s")
     texts = texts.select("row", F.concat("s", "h").alias("text")).withColumn("digest", F.xxhash64("text"))
-    hits = texts.join(best, "digest", "left").where(F.col("rule").isNull() | (F.col("rule") == F.col("text")))
+    hits = texts.join(best, (texts["digest"] == best["digest"]) & (F.col("text") == F.col("rule")), "left")
     top = hits.groupBy("row").agg(F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("w"))
     return top.select("row.page_id", "row.host", "row.path", F.col("w.rule").alias("rule"), F.coalesce("w.verdict", F.lit(default)).alias("verdict"))
