@@ -10,7 +10,8 @@ Defined results
     repeated rows       the same shard, slots of their own
     equal keys          ordered by size, then by checksum of the text
     empty table         no rows
-    clashing columns    shard, slot and grown_shard replace columns of that name
+    clashing columns    shard, slot, grown_shard, size, text_crc32 and law replace columns
+                        of that name; all others stay
 """
 
 from __future__ import annotations
@@ -92,22 +93,24 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None
 def number_slots(df: DataFrame, key: str, ties: list[str], rows: int | None = None) -> DataFrame:
     """df (with `shard`) with `slot`: gapless from 0 within each shard.
 
-    A shard may hold an eighth of all rows, so no task numbers a whole shard: rows
-    are numbered within buckets of the key's hash, and the buckets of a shard are
-    offset by prefix sums over their counts (a table of one row for each bucket).
+    A shard may hold an eighth of all rows, and a key (null, say) a third, so no task
+    numbers a whole shard or key: rows are numbered within buckets of a hash of key and
+    ties, and the buckets of a shard are offset by prefix sums over their counts (a table
+    of one row for each bucket).  The caller's columns travel in a struct.
     """
     rows = df.count() if rows is None else rows
     buckets = max(1, -(-rows // BUCKET_ROWS)) * 4
-    b = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    counts = b.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("shard").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("shard", "_bucket").orderBy(key, *ties)
-    numbered = b.withColumn("_row", F.row_number().over(inside) - 1)
-    joined = numbered.join(starts, (numbered["shard"] == starts["_s"]) & (numbered["_bucket"] == starts["_b"]))
-    return joined.withColumn("slot", (F.col("_start") + F.col("_row")).cast("long")).drop("_s", "_b", "_bucket", "_start", "_row")
+    own = [c for c in df.columns if c != "slot"]
+    bucket = F.pmod(F.xxhash64(key, *ties), F.lit(buckets)).cast("int")
+    order = [F.col(c).alias(f"order{i}") for i, c in enumerate((key, *ties))]
+    b = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in own]).alias("doc"), F.col("shard").alias("place"), bucket.alias("bucket"), *order)
+    counts = b.groupBy("place", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("place").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("place", "bucket").orderBy(*[f"order{i}" for i in range(len(order))])
+    numbered = b.withColumn("at", F.row_number().over(inside) - 1)
+    joined = numbered.join(starts, (F.col("place") == F.col("s")) & (F.col("bucket") == F.col("b")))
+    return joined.select("doc.*", (F.col("start") + F.col("at")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
