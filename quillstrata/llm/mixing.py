@@ -24,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A source may hold a third of all rows, so its order is not one sorted run: rows
     are dealt to buckets of the leading digits of their order key, the buckets'
-    sums give each bucket's start, and rows accumulate within their bucket.
+    sums give each bucket's start, and rows accumulate within their bucket.  Rows without
+    an id share one order key; they are dealt by the checksum that orders them.
     With `carry`, the columns of docs come along in a struct `doc`.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -98,7 +101,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     digits = 1
     while 16**digits * BUCKET_ROWS < rows * 4:
         digits += 1
-    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
+    blank = hashlib.md5(b"").hexdigest()  # the order key of a null id
+    part = F.when(F.col("key") < blank, "0").when(F.col("key") > blank, "2").otherwise(F.concat(F.lit("1"), F.substring(F.lpad(F.lower(F.hex("crc")), 8, "0"), 1, digits)))
+    sized = sized.withColumn("bucket", F.concat(F.substring("key", 1, digits), part))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.withColumnRenamed("bucket_size", "size"), repeats)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
