@@ -15,7 +15,8 @@ Defined results
     no labelled rows        score 0 for all
     labels of one class     that class's smoothed rate for all
     repeated labels         toxic if any row says so
-    repeated documents      each gets its row; equal texts, equal scores
+    repeated documents      each gets its row; equal texts, equal scores; of texts that
+                            share an id the smallest is learned from
     empty table             no rows
     clashing columns        inputs are renamed inside; extra ones ignored
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -114,7 +116,7 @@ def features(text: str | None, strength: Strength) -> list[float]:
     special = [(i, v) for i, v in enumerate(map(strength.__getitem__, tokens)) if v]
     hits = [(i, max(v[0], v[2])) for i, v in special if v[0] or v[2]]
     persons = [i for i, v in special if v[3]] if hits else []
-    near = sum(1 for i, _ in hits if any(abs(i - j) <= 5 for j in persons))
+    near = sum(1 for i, _ in hits if bisect_left(persons, i - 5) < bisect_right(persons, i + 5))
     raw = np.frombuffer(text.encode(), np.uint8)
     c = np.bincount(CLASSES[raw], minlength=8)
     letters = max(1, c[1] + c[2] + c[7])
@@ -242,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = usable.where(spread).groupBy(F.col(doc_id).alias("k")).agg(F.max(label).alias("y"))
     # `picked` has about `bound` rows, whatever the input
     joined = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("k"))
-    got = sorted((r["k"], r["t"] or "", r["y"]) for r in joined.collect())
+    once = joined.groupBy("k", "y").agg(F.min("t").alias("t"))  # one text for each id, however often it is repeated
+    got = sorted((r["k"], r["t"] or "", r["y"]) for r in once.collect())
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
 
