@@ -22,12 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import ascii_lower
+from quillstrata.llm.common import ascii_lower, cut
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to which the hash set is broadcast (about 300 bytes each); beyond
-#: it the same join is a shuffle join.
+#: Windows up to which the hash set is broadcast with its words (about 300 bytes each).
+#: Beyond it only the hashes are (about 50 bytes each), in as many passes as keep one
+#: broadcast within BROADCAST_KEYS; the windows that they find meet the words in a
+#: shuffle join, so what is shuffled grows with hits and not with the text.
 BROADCAST_WINDOWS = 500_000
+BROADCAST_KEYS = 3_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -50,14 +53,15 @@ def find_hits(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "
     windows = item_windows(items, item_id, item_text, n)
     sizes = windows.groupBy(F.size("words").alias("len")).count().collect()  # at most n rows
     lengths = sorted(r["len"] for r in sizes)
+    total = sum(r["count"] for r in sizes)
     known = windows.select(F.col("key").alias("item_key"), F.col("words").alias("item_words"), "items")
-    if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
 
     # A row's number follows from its partition and place, so a task that runs again
-    # gives the same numbers; it is made once and only groups a row's own hits.
+    # gives the same numbers; it only groups a row's own hits.
     doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry])
     rows = docs.select(doc.alias("doc"), words_of(F.col(text)).alias("w"), F.monotonically_increasing_id().alias("row"))
+    if total > BROADCAST_WINDOWS:
+        rows = cut(rows, "numbered")  # read more than once below, with the same numbers
 
     # Position 0 stands for the row itself, so that rows without hits stay.  All from
     # here to the join is one stage of generated code: no array is built for a window.
@@ -67,11 +71,21 @@ def find_hits(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "
     probes = probes.select("*", F.explode(lens).alias("len")) if len(lengths) > 1 else probes.withColumn("len", F.lit(max(lengths, default=n)))
     fits = (F.col("pos") > 0) & (F.col("pos") + F.col("len") - 1 <= F.size("w"))
     window = F.slice("w", F.greatest(F.col("pos"), F.lit(1)), F.col("len"))
-    # The hash finds, the words confirm.  when() keeps the words out of the join's key,
-    # which stays one long.
-    confirmed = F.when(F.col("items").isNotNull(), window == F.col("item_words"))
-    found = probes.join(known, (F.xxhash64(window) == F.col("item_key")) & fits & confirmed, "left")
     own = F.col("pos") == 0
+    if total <= BROADCAST_WINDOWS:
+        # The hash finds, the words confirm.  when() keeps the words out of the join's key,
+        # which stays one long.
+        confirmed = F.when(F.col("items").isNotNull(), window == F.col("item_words"))
+        found = probes.join(F.broadcast(known), (F.xxhash64(window) == F.col("item_key")) & fits & confirmed, "left")
+    else:
+        found = rows.select("row", "doc", "w", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("items"))
+        passes = -(-total // BROADCAST_KEYS)
+        for p in range(passes):
+            keys = known.where(F.pmod("item_key", F.lit(passes)) == p).select(F.col("item_key").alias("known_key")).distinct()
+            near = probes.where(fits).join(F.broadcast(keys), F.xxhash64(window) == F.col("known_key"), "left_semi")
+            near = near.select("row", "pos", "len", window.alias("words"), F.xxhash64(window).alias("key"))
+            hits = near.join(known, (F.col("key") == F.col("item_key")) & (F.col("words") == F.col("item_words")))
+            found = found.unionByName(hits.select("row", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), F.lit(None).cast("array<string>").alias("w"), "pos", "len", "items"))
     return (
         found.where(own | F.col("items").isNotNull())
         .groupBy("row")
