@@ -1,13 +1,21 @@
-"""Media columns as FLAC: mono, 8 bits, frames of 192 samples.
+"""Media columns as FLAC, read back as PCM blocks with seekable sample offsets.
 
-The encoder gives each frame the cheapest of a constant, verbatim samples, fixed
-predictors of order 0 to 2 and a quantised first-order linear predictor, with one
-Rice partition.  The decoder reads such streams: it checks the marker, the header
-CRC-8 and frame CRC-16 of every frame and the MD5 of all samples, undoes Rice codes
-and predictors of any order, and gives PCM blocks with their sample offsets.  Frames
-of many streams are handled side by side in arrays, one step for each sample place.
+The encoder writes mono streams of 8 bits in frames of 192 samples: each frame is the
+cheapest of a constant, verbatim samples, fixed predictors of order 0 to 2 and a
+quantised first-order linear predictor, with one Rice partition.  A SEEKTABLE names the
+sample and byte at which every PCM block starts.  The decoder of such streams checks the
+marker, the header CRC-8 and frame CRC-16 of every frame and the MD5 of all samples, and
+undoes Rice codes and predictors of any order; frames of many streams are handled side
+by side in arrays, one step for each sample place.  Streams of other encoders go through
+read(), frame by frame: all block sizes, 1 to 8 channels with their decorrelation, 4 to
+32 bits, wasted bits, Rice partitions of both methods, escaped partitions, fixed and
+linear predictors of any order, with the same checks.
 
-Bytes are stored as signed samples, byte - 128.
+store() makes the media column, pcm() the column of PCM blocks behind it, seek() one
+stretch of samples from the nearest seek point, and digest() reads what pcm() made.
+
+Bytes are stored as signed samples, byte - 128.  PCM is interleaved little-endian, as in
+WAV files: 8 bits and fewer unsigned, more signed.
 
 Defined results
     null text           as the empty text
@@ -25,15 +33,20 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 192
 RATE = 8000
 PAD = 32
+#: Samples of a PCM block, at each of which a stream can be entered.
+SEEK = 24 * BLOCK
 #: Payload bytes that are handled at once.
 CHUNK = 1 << 19
 SHIFT = 6  # of the linear predictor's coefficient
@@ -180,7 +193,9 @@ def _stream_head(payload: bytes, sizes: list[int]) -> bytes:
     packed = RATE << 44 | 0 << 41 | 7 << 36 | len(payload)
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + packed.to_bytes(8, "big")
     signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
-    return b"fLaC\x80\x00\x00\x22" + info + hashlib.md5(signed).digest()
+    step, ends = SEEK // BLOCK, np.cumsum([0, *sizes])
+    points = b"".join(struct.pack(">QQH", i * BLOCK, int(ends[i]), BLOCK) for i in range(0, len(sizes), step))
+    return b"fLaC\x00\x00\x00\x22" + info + hashlib.md5(signed).digest() + b"\x83" + len(points).to_bytes(3, "big") + points
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -319,14 +334,8 @@ def _undo_fixed(residual: np.ndarray, warm: np.ndarray, order: int) -> np.ndarra
 
 def frame_starts(stream: bytes) -> list[int]:
     """Where frames begin, and the end: at each header whose CRC-8 holds."""
-    starts, at = [], 4
-    while True:
-        last, n = stream[at] >> 7, int.from_bytes(stream[at + 1 : at + 4], "big")
-        at += 4 + n
-        if last:
-            break
-    total = int.from_bytes(stream[18:26], "big") & (1 << 36) - 1
-    count = total // BLOCK
+    about, starts = info(stream), []
+    at, count = about.frames, about.samples // BLOCK
     while len(_HEADS) < count:
         head = b"\xff\xf8\x14\x02" + _number(len(_HEADS))
         c = 0
@@ -347,12 +356,13 @@ _HEADS: list[bytes] = []
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams."""
+    """The payloads of streams that encode() made."""
     marks = []
     for s in streams:
-        _need(s[:4] == b"fLaC" and s[4] & 0x7F == 0, "marker or STREAMINFO")
-        _need(struct.unpack(">HH", s[8:12]) == (BLOCK, BLOCK), "block size")
-        marks.append(frame_starts(s))
+        about, starts = info(s), frame_starts(s)
+        _need(about.own, "not of this encoder")
+        _need(all(p % BLOCK == 0 and p < about.samples and starts[p // BLOCK] - about.frames == byte for p, byte in about.points), "seek point")
+        marks.append(starts)
     out: list[bytes] = []
     i = 0
     pending: list[np.ndarray] = []
@@ -382,12 +392,225 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
-def blocks(payload: bytes, size: int = 24 * BLOCK) -> Iterator[tuple[int, bytes]]:
+@dataclass
+class Info:
+    """STREAMINFO, seek points (sample, byte after the metadata) and where frames begin."""
+
+    largest: int  # samples of a block
+    longest: int  # bytes of a frame, 0 if unknown
+    rate: int
+    channels: int
+    bits: int
+    samples: int  # 0 if unknown
+    md5: bytes
+    points: list[tuple[int, int]]
+    frames: int
+
+    @property
+    def own(self) -> bool:
+        return (self.largest, self.channels, self.bits) == (BLOCK, 1, 8) and self.samples % BLOCK == 0
+
+
+def info(stream: bytes) -> Info:
+    _need(stream[:4] == b"fLaC" and len(stream) >= 42 and stream[4] & 0x7F == 0, "marker or STREAMINFO")
+    packed, points, at = int.from_bytes(stream[18:26], "big"), [], 4
+    while True:
+        last, kind, n = stream[at] >> 7, stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 3:
+            found = struct.iter_unpack(">QQH", stream[at + 4 : at + 4 + n // 18 * 18])
+            points = [(sample, byte) for sample, byte, _ in found if sample < (1 << 64) - 1]
+        at += 4 + n
+        _need(at <= len(stream), "metadata ends early")
+        if last:
+            break
+    return Info(int.from_bytes(stream[10:12], "big"), int.from_bytes(stream[15:18], "big"), packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, stream[26:42], points, at)
+
+
+class EndsEarly(ValueError):
+    """The bytes at hand do not hold the whole frame."""
+
+
+class Bits:
+    """Bits of a frame, as a string of 0 and 1, which finds and converts at C speed."""
+
+    def __init__(self, data: bytes):
+        self.text, self.at = bin(int.from_bytes(b"\1" + data, "big"))[3:], 0
+
+    def take(self, n: int) -> int:
+        self.at += n
+        if self.at > len(self.text):
+            raise EndsEarly("FLAC stream: frame ends early")
+        return int(self.text[self.at - n : self.at], 2) if n else 0
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def unary(self) -> int:
+        stop = self.text.find("1", self.at)
+        if stop < 0:
+            raise EndsEarly("FLAC stream: frame ends early")
+        n, self.at = stop - self.at, stop + 1
+        return n
+
+
+def _residual(b: Bits, size: int, order: int) -> list[int]:
+    method, parts = b.take(2), 1 << b.take(4)
+    _need(method < 2 and size % parts == 0 and size // parts >= order, "residual coding")
+    width, out = 4 + method, []
+    for p in range(parts):
+        n, k = size // parts - (order if p == 0 else 0), b.take(width)
+        if k == (1 << width) - 1:
+            raw = b.take(5)
+            out += [b.signed(raw) for _ in range(n)]
+            continue
+        for _ in range(n):
+            v = b.unary() << k | b.take(k)
+            out.append(v >> 1 ^ -(v & 1))
+    return out
+
+
+#: Weights of the samples before, nearest first, of the fixed predictors.
+FIXED = [(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)]
+
+
+def _subframe(b: Bits, size: int, bits: int) -> list[int]:
+    _need(b.take(1) == 0, "subframe padding")
+    kind, wasted = b.take(6), 0
+    if b.take(1):
+        wasted = b.unary() + 1
+    bits -= wasted
+    if kind == 0:
+        x = [b.signed(bits)] * size
+    elif kind == 1:
+        x = [b.signed(bits) for _ in range(size)]
+    else:
+        fixed = 8 <= kind <= 12
+        _need(fixed or kind >= 32, "subframe type")
+        order = kind - 8 if fixed else kind - 31
+        x = [b.signed(bits) for _ in range(order)]
+        weights, shift = FIXED[order] if fixed else (), 0
+        if not fixed:
+            precision, shift = b.take(4) + 1, b.signed(5)
+            _need(precision < 16 and shift >= 0, "predictor")
+            weights = [b.signed(precision) for _ in range(order)]
+        top = 1 << (bits - 1)
+        for r in _residual(b, size, order):
+            v = r + (sum(map(mul, weights, x[: -order - 1 : -1])) >> shift if order else 0)
+            _need(-top <= v < top, "sample out of range")  # also keeps a damaged stream's feedback from growing
+            x.append(v)
+    return [v << wasted for v in x] if wasted else x
+
+
+def _frame(stream: bytes, about: Info, at: int, limit: int) -> tuple[int, np.ndarray, int]:
+    """First sample, samples (channels x size) and end of the frame at a byte, of which
+    `limit` bytes are looked at."""
+    b = Bits(stream[at : at + limit])
+    _need(b.take(15) == 0x7FFC, "frame sync")
+    varies, size, rate, layout, depth = b.take(1), b.take(4), b.take(4), b.take(4), b.take(3)
+    b.take(1)
+    lead = b.take(8)
+    more = 0 if lead < 0x80 else f"{lead:08b}".index("0") - 1 if lead < 0xFF else 6
+    number = lead if not more else lead & (0x3F >> more)
+    for _ in range(more):
+        number = number << 6 | b.take(8) & 0x3F
+    _need(size > 0, "frame header")
+    size = 192 if size == 1 else 576 << size - 2 if size < 6 else b.take(8) + 1 if size == 6 else b.take(16) + 1 if size == 7 else 256 << size - 8
+    b.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+    head = np.frombuffer(stream[at : at + b.at // 8], np.uint8)
+    _need(int(_crc(head, np.zeros(1, np.int64), np.array([len(head)]), CRC8, 8)[0]) == b.take(8), "header CRC-8")
+    bits = [about.bits, 8, 12, 0, 16, 20, 24, 32][depth]
+    _need(bits > 0 and layout < 11, "frame header")
+    channels = layout + 1 if layout < 8 else 2
+    x = [np.array(_subframe(b, size, bits + (c == (0 if layout == 9 else 1) and layout > 7)), np.int64) for c in range(channels)]
+    if layout == 8:
+        x[1] = x[0] - x[1]
+    elif layout == 9:
+        x[0] = x[0] + x[1]
+    elif layout == 10:
+        twice = x[0] * 2 | x[1] & 1
+        x = [twice + x[1] >> 1, twice - x[1] >> 1]
+    end = at + -(-b.at // 8)
+    if end + 2 > min(at + limit, len(stream)):
+        raise EndsEarly("FLAC stream: frame ends early")
+    whole = np.frombuffer(stream[at:end], np.uint8)
+    _need(int(_crc(whole, np.zeros(1, np.int64), np.array([len(whole)]), CRC16, 16)[0]) == int.from_bytes(stream[end : end + 2], "big"), "frame CRC-16")
+    return (number if varies else number * about.largest), np.stack(x), end + 2
+
+
+def read_frames(stream: bytes, about: Info, at: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First sample and samples (channels x size) of every frame from a byte on."""
+    while at < len(stream):
+        limit = about.longest or 2 * about.channels * about.largest * (about.bits + 1) // 8 + 1024
+        while True:
+            try:
+                first, x, end = _frame(stream, about, at, limit)
+                break
+            except EndsEarly:
+                if at + limit >= len(stream):
+                    raise
+                limit *= 8
+        yield first, x
+        at = end
+
+
+def _pcm(samples: np.ndarray, bits: int, unsigned: bool = True) -> bytes:
+    """Samples (channels x size) as interleaved little-endian PCM."""
+    flat, width = samples.T.ravel(), -(-bits // 8)
+    if width == 1 and unsigned:
+        flat = flat + 128
+    return flat.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def read(stream: bytes) -> tuple[Info, np.ndarray]:
+    """What a stream of any encoder holds: its description and samples (channels x n)."""
+    about, found, at = info(stream), [], 0
+    for first, x in read_frames(stream, about, about.frames):
+        _need(first == at and len(x) == about.channels, "frame order")
+        found.append(x)
+        at += x.shape[1]
+    _need(about.samples in (0, at), "number of samples")
+    samples = np.concatenate(found, 1) if found else np.zeros((about.channels, 0), np.int64)
+    _need(not any(about.md5) or hashlib.md5(_pcm(samples, about.bits, False)).digest() == about.md5, "MD5 of the samples")
+    return about, samples
+
+
+def seek(stream: bytes, first: int, count: int) -> bytes:
+    """PCM of `count` samples from the `first` on: frames are decoded from the seek point
+    before it, and no further than needed."""
+    about = info(stream)
+    at = max((p for p in about.points if p[0] <= first), default=(0, 0))[1]
+    parts = []
+    for start, x in read_frames(stream, about, about.frames + at):
+        if start >= first + count:
+            break
+        parts.append(x[:, max(0, first - start) : max(0, first + count - start)])
+    return _pcm(np.concatenate(parts, 1), about.bits) if parts else b""
+
+
+def blocks(payload: bytes, size: int = SEEK) -> Iterator[tuple[int, bytes]]:
     """PCM blocks and the sample offsets at which they start."""
     for at in range(0, len(payload), size):
         yield at, payload[at : at + size]
 
 
+def block_lists(streams: list[bytes], size: int) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks of every stream, of this encoder or another."""
+    own = [s for s in streams if info(s).own]
+    try:
+        payloads = iter(decode(own))
+    except ValueError:  # like ours by its description only, or damaged, which read() finds as well
+        own, payloads = [], iter(())
+    ours, out = set(map(id, own)), []
+    for s in streams:
+        if id(s) in ours:
+            out.append(list(blocks(next(payloads), size)))
+        else:
+            about, x = read(s)
+            out.append([(at, _pcm(x[:, at : at + size], about.bits)) for at in range(0, x.shape[1], size)])
+    return out
+
+
 def feature(payload: bytes) -> str:
     """Facts of the samples read back: count, mean, energy, crossings of the mean."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -424,27 +647,43 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, size: int = 24 * BLOCK) -> DataFrame:
-    """doc_id, sample_offset, pcm (8-bit unsigned) of every stream: seekable blocks."""
+def pcm(media: DataFrame, size: int = SEEK) -> DataFrame:
+    """All columns of media (a FLAC stream in `media`) with `blocks`: the PCM blocks of the
+    stream with their sample offsets, in order.  A null stream has no blocks."""
+    columns = [c for c in media.columns if c != "blocks"]
+    at = columns.index("media")
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, streams = b.column(0), b.column(1).to_pylist()
-            for i, stream in enumerate(streams):
-                rows = list(blocks(decode([stream])[0], size))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(rows), ids.type), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+            streams = b.column(at).to_pylist()
+            listed = iter(block_lists([s for s in streams if s is not None], size))
+            found = [None if s is None else [{"sample_offset": o, "pcm": p} for o, p in next(listed)] for s in streams]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*columns, "blocks"])
+
+    slim = media.select(*[F.col(f"`{c}`") for c in columns])
+    wide = T.StructType([*slim.schema.fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])))])
+    return slim.mapInArrow(run, wide)
+
 
-    slim = media.select("doc_id", "media")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, sample_offset long, pcm binary")
+def pcm_blocks(media: DataFrame, size: int = SEEK) -> DataFrame:
+    """doc_id, sample_offset, pcm of every block: a table to write and seek in."""
+    return pcm(media.select("doc_id", "media"), size).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.sample_offset", "b.pcm")
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """Reads every stream back: doc_id, n_bytes, payload and media digests, feature."""
+def digest(decoded: DataFrame) -> DataFrame:
+    """Of what pcm() made: doc_id, n_bytes, payload and media digests, feature.  The blocks
+    must follow each other without gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            streams = b.column(2).to_pylist()
-            payloads = decode(streams)
+            streams, payloads = b.column(2).to_pylist(), []
+            for listed in b.column(3).to_pylist():
+                at = 0
+                for block in listed:
+                    _need(block["sample_offset"] == at, "a PCM block is missing")
+                    at += len(block["pcm"])
+                payloads.append(b"".join(block["pcm"] for block in listed))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -459,5 +698,6 @@ def digest(media: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    slim = decoded.select("doc_id", "n_bytes", "media", "blocks")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
