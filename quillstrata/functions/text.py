@@ -75,11 +75,11 @@ def extension(path: Column) -> Column:
 
 
 def shebang(text: Column) -> Column:
-    """Base name of the interpreter in a #! line; `env X` gives X."""
+    """Base name of the interpreter in a #! line, in lower case; `env X` gives X."""
     line = F.regexp_extract(text, r"^#!\s*([^\n]*)", 1)
     words = F.split(F.trim(line), r"\s+")
     first = F.regexp_extract(F.get(words, F.lit(0)), r"([^/]*)$", 1)
-    return F.when(first == "env", F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), r"([^/]*)$", 1)).otherwise(first)
+    return F.lower(F.when((first == "env") & (F.size(words) > 1), F.regexp_extract(F.get(words, F.lit(1)), r"([^/]*)$", 1)).otherwise(first))
 
 
 def module_name(path: Column) -> Column:

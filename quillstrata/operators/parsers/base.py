@@ -6,7 +6,7 @@ import bisect
 import importlib
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
@@ -51,10 +51,24 @@ class Parsed:
 
 @dataclass(frozen=True)
 class Limits:
-    """Token cap (None: none) and how tokens are counted."""
+    """Token cap (None: none; "auto": the general cap, or none for JavaScript and
+    TypeScript), how tokens are counted, and which handlers are enabled (None: all)."""
 
-    max_tokens: int | None = 2000
+    max_tokens: int | str | None = 2000
     count: Callable[[str], int] = lambda text: -(-len(text) // 4)
+    general: int = 2000
+    enabled: frozenset[str] | None = None
+
+    def of(self, handler: str) -> Limits:
+        """The limits of one handler, with its cap as a number or None."""
+        cap = self.max_tokens
+        if isinstance(cap, str):
+            named = cap.strip().lower()
+            cap = int(named) if named.isdigit() else None if handler in ("javascript", "typescript") else self.general
+        return replace(self, max_tokens=cap if cap is None or cap > 0 else None)
+
+    def may_delegate(self, handler: str) -> bool:
+        return self.enabled is None or handler in self.enabled
 
 
 class Places:
@@ -91,8 +105,18 @@ _PARSERS: dict[str, Parser | str] = {
     "typescript": "quillstrata.operators.parsers.javascript:parse_ts",
 }
 #: Handlers of file suffixes and interpreters.
-SUFFIXES = {"md": "markdown", "markdown": "markdown", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "html": "html", "htm": "html", "css": "css", "txt": "text"}
-INTERPRETERS = {"python": "python", "python3": "python", "node": "javascript", "deno": "typescript"}
+HANDLER_SUFFIXES = {
+    "text": "txt log ini toml cfg",
+    "markdown": "md markdown mdown mkdn mkd",
+    "python": "py pyw pyi",
+    "javascript": "js cjs mjs jsx",
+    "typescript": "ts tsx cts mts",
+    "html": "html htm",
+    "css": "css scss less",
+}
+HANDLER_INTERPRETERS = {"python": "python python3 python2", "javascript": "node"}
+SUFFIXES = {suffix: handler for handler, listed in HANDLER_SUFFIXES.items() for suffix in listed.split()}
+INTERPRETERS = {name: handler for handler, listed in HANDLER_INTERPRETERS.items() for name in listed.split()}
 
 
 def register(name: str, parser: Parser | str) -> None:
@@ -127,14 +151,15 @@ def resolve(path: Column, text: Column, explicit: Column | None = None, override
     return handler, reason
 
 
-def split_lines(text: str, limits: Limits) -> list[tuple[int, int]]:
-    """Greedy runs of whole lines within the cap; a longer line stands alone."""
+def split_lines(text: str, limits: Limits, joined: bool = False) -> list[tuple[int, int]]:
+    """Greedy runs of whole lines within the cap; a longer line stands alone.  A run's
+    tokens are the sum over its lines, or, with `joined`, those of the run as a whole."""
     if limits.max_tokens is None or limits.count(text) <= limits.max_tokens:
         return [(0, len(text))]
     out, start, at, used = [], 0, 0, 0
     for line in text.splitlines(keepends=True):
         n = limits.count(line)
-        if used and used + n > limits.max_tokens:
+        if used and (limits.count(text[start : at + len(line)]) if joined else used + n) > limits.max_tokens:
             out.append((start, at))
             start, used = at, 0
         at += len(line)
@@ -155,7 +180,8 @@ def canonical(meta: dict[str, Any]) -> str | None:
 
 
 def run_one(handler: str, path: str, raw: bytes | str | None, limits: Limits = Limits()) -> Parsed:  # noqa: B008
-    """A file through a parser; bad UTF-8 and parser failures become errors."""
+    """A file through a parser; bad UTF-8, unknown handlers and whatever a parser fails
+    with become errors of this file alone."""
     if isinstance(raw, (bytes, bytearray)):
         try:
             raw = bytes(raw).decode()
@@ -163,9 +189,11 @@ def run_one(handler: str, path: str, raw: bytes | str | None, limits: Limits = L
             return Parsed(errors=[f"not UTF-8: {e.reason} at {e.start}"])
     if not raw:
         return Parsed()
+    if handler not in _PARSERS:
+        return Parsed(errors=[f"unknown handler {handler}"])
     try:
-        return lookup(handler)(path, raw, limits)
-    except (ValueError, SyntaxError, RecursionError) as e:
+        return lookup(handler)(path, raw, limits.of(handler))
+    except Exception as e:  # MemoryError of a too deep expression among them
         return Parsed(errors=[f"{type(e).__name__}: {e}"])
 
 

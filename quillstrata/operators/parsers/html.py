@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import re
 import textwrap
+from collections import Counter
 from html.parser import HTMLParser
 
 from quillstrata.operators.parsers.base import Chunk, Limits, Parsed, Places, Symbol
 
 #: Elements that make symbols, and those that have no end tag.
-STRUCTURAL = frozenset("html head body header footer main nav section article aside div form table ul ol dl figure h1 h2 h3 h4 h5 h6 p pre template".split())
+STRUCTURAL = frozenset("body head header footer section article aside main nav div p ul ol li table thead tbody tr td form fieldset legend figure figcaption details summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script": ("javascript", "inline_script"), "style": ("css", "inline_style")}
 
@@ -25,6 +26,7 @@ class _Walk(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.text, self.starts = text, [0, *(m.end() for m in re.finditer("\n", text))]
         self.open: list[tuple[str, int, int, dict]] = []
+        self.depth: Counter[str] = Counter()  # open elements by tag
         self.elements: list[tuple[str, int, int, int, int, dict]] = []  # tag, start, inner start, inner end, end, attributes
         self.loose: list[tuple[str, int, int]] = []
         self.run: int | None = None
@@ -46,6 +48,7 @@ class _Walk(HTMLParser):
 
     def finish(self, inner_end: int, end: int) -> None:
         tag, start, inner, attributes = self.open.pop()
+        self.depth[tag] -= 1
         self.elements.append((tag, start, inner, inner_end, end, attributes))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -55,6 +58,7 @@ class _Walk(HTMLParser):
         if tag in VOID:
             return
         self.open.append((tag, at, end, dict(attrs)))
+        self.depth[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         at = self.here()
@@ -66,7 +70,7 @@ class _Walk(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         at = self.here()
         self.flush(at)
-        if any(t[0] == tag for t in self.open):
+        if self.depth[tag] > 0:
             close = self.text.find(">", at)
             end = len(self.text) if close < 0 else close + 1
             while self.open[-1][0] != tag:
@@ -122,6 +126,13 @@ def parse(path: str, text: str, limits: Limits) -> Parsed:
         if tag in RAW and text[inner:inner_end].strip():
             delegate, component = RAW[tag]
             code = textwrap.dedent(tidy(text[inner:inner_end]))
+            if not limits.may_delegate(delegate):
+                out.warnings.append(f"{tag} is kept inline: the {delegate} handler is disabled")
+                out.chunks.append(
+                    Chunk(f"html:{tag}:inline:{at.byte(inner)}:{at.byte(inner_end)}", code, at.byte(inner), at.byte(inner_end), part, sid, meta={"kind": tag, "delegate": delegate, "handler_enabled": False, **at.span(inner, inner_end)})
+                )
+                stack.append((start, end, sid, cid))
+                continue
             out.chunks.append(
                 Chunk(f"{delegate}:delegate:html:{component}:{at.byte(inner)}:{at.byte(inner_end)}", code, at.byte(inner), at.byte(inner_end), part, sid, delegate, cid,
                       {"delegate_parent_chunk": cid, "delegate_parent_symbol": sid, **at.span(inner, inner_end)})

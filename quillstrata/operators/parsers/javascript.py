@@ -5,6 +5,7 @@ re-exports, and JSX as HTML delegates."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from quillstrata.operators.parsers.base import Chunk, Limits, Parsed, Places, Symbol, split_lines
 from quillstrata.operators.parsers.python import module_name
@@ -16,7 +17,15 @@ DECLARE = re.compile(
 )
 REEXPORT = re.compile(r"export\s*(?:type\s*)?(?P<what>\*(?:\s*as\s+[\w$]+)?|\{[^}]*\})\s*(?:from\s*(?P<from>['\"][^'\"]+['\"]))?\s*;?")
 MEMBER = re.compile(r"(?P<mods>(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract|declare)\s+)*)(?P<star>\*\s*)?(?P<name>#?[\w$]+|\[[^\]]*\])\s*(?P<mark>[?!])?\s*(?P<next><[^>(]*>\s*\(|\(|=(?!=)|:|;|\n|\}|$)")
-JSX = re.compile(r"<([A-Za-z][\w.]*)(?=[\s/>])|<>")
+JSX = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][\w.]*)?(?=[\s/>])")
+TAG_END = re.compile(r"[{>]|/>")
+BRACKET = re.compile(r"[()\[\]{}]")
+OPENER = {")": "(", "]": "[", "}": "{"}
+#: Open tags that an end tag is looked for in.
+JSX_DEPTH = 1000
+SOLID = re.compile(r"\S")
+DEFAULT = re.compile(r"export\s+default\s+")
+BEFORE_JSX = frozenset("=(,?:&|>{[")
 KINDS = {"class": "class", "function": "function", "function*": "function", "interface": "interface", "enum": "enum", "type": "type_alias", "const": "const", "namespace": "namespace"}
 
 
@@ -25,37 +34,60 @@ def blank(text: str) -> str:
     return SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def closing(code: str, i: int, pairs: str = "{}") -> int:
-    """The place after the bracket that closes the one at i."""
-    depth = 0
-    for j in range(i, len(code)):
-        depth += (code[j] == pairs[0]) - (code[j] == pairs[1])
-        if not depth:
-            return j + 1
-    return len(code)
-
-
-def statement_end(code: str, i: int) -> int:
-    """The place after a statement: its semicolon, or a line end outside brackets after
-    which nothing goes on."""
-    depth = 0
-    for j in range(i, len(code)):
-        c = code[j]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if depth < 0:
-                return j
-        elif c == ";" and not depth:
-            return j + 1
-        elif c == "\n" and not depth and not re.match(r"\s*[.?:+\-*/&|=,]", code[j + 1 :]) and not re.search(r"[=,+\-*/&|?:(\[{]\s*$|=>\s*$", code[i:j]):
-            return j
-    return len(code)
+class Scan:
+    """Blanked code with the partner of every bracket, each found once."""
+
+    def __init__(self, code: str):
+        self.code, self.after = code, {}
+        open_: dict[str, list[int]] = {"(": [], "[": [], "{": []}
+        for m in BRACKET.finditer(code):
+            if m[0] in open_:
+                open_[m[0]].append(m.start())
+            elif held := open_[OPENER[m[0]]]:
+                self.after[held.pop()] = m.end()
+        self.tokens = {c: [m.start() for m in re.finditer(re.escape(c), code)] for c in "({;"}
+
+    def closing(self, i: int) -> int:
+        """The place after the bracket that closes the one at i."""
+        return self.after.get(i, len(self.code))
+
+    def find(self, what: str, i: int) -> int:
+        """The next of a few characters from i on, or -1."""
+        found = [at[k] for at in map(self.tokens.__getitem__, what) if (k := bisect_left(at, i)) < len(at)]
+        return min(found, default=-1)
+
+    def statement_end(self, i: int, end: int | None = None) -> int:
+        """The place after a statement: its semicolon, or a line end outside brackets
+        after which nothing goes on."""
+        code, end = self.code, len(self.code) if end is None else end
+        begin, last = i, -1  # the last character that is no white space
+        while i < end:
+            c = code[i]
+            if c in "([{":
+                i = min(self.closing(i), end)
+                last = i - 1
+                continue
+            if c in ")]}":
+                return i
+            if c == ";":
+                return i + 1
+            if c == "\n":
+                m = SOLID.search(code, i, end)
+                after = m.start() if m else end
+                goes_on = after < end and code[after] in ".?:+-*/&|=,"
+                if not goes_on and not (last >= begin and (code[last] in "=,+-*/&|?:" or code[last - 1 : last + 1] == "=>")):
+                    return i
+                i = after
+                continue
+            if not c.isspace():
+                last = i
+            i += 1
+        return end
 
 
 def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
     out, at, code = Parsed(), Places(text), blank(text)
+    scan = Scan(code)
     module = module_name(path)
     root = f"{handler}:{path}::{module}"
     lead = re.match(r"\s*(/\*\*?.*?\*/|(?://[^\n]*\n?)+)", text, re.S)
@@ -67,7 +99,7 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
     out.symbols.append(Symbol(root, module, "module", 0, at.byte(len(text)), docstring=doc))
 
     def emit(label: str, s: int, e: int, symbol: str, **meta: object) -> None:
-        for n, (a, b) in enumerate(split_lines(text[s:e], limits)):
+        for n, (a, b) in enumerate(split_lines(text[s:e], limits, joined=True)):
             out.chunks.append(Chunk(f"{handler}:{label}:{at.byte(s + a)}:{at.byte(s + b)}:{n}", text[s + a : s + b], at.byte(s + a), at.byte(s + b), n, symbol, meta={**at.span(s + a, s + b), **meta}))
 
     def symbol(name: str, kind: str, s: int, e: int, parent: str, **meta: object) -> str:
@@ -83,14 +115,13 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
                 i += 1
                 continue
             if m["next"].endswith("("):
-                params = closing(code, m.end() - 1, "()")
-                brace = re.compile(r"[{;]").search(code, params, e)
-                end = closing(code, brace.start()) if brace and brace[0] == "{" else (brace.end() if brace else e)
+                brace = scan.find("{;", scan.closing(m.end() - 1))
+                end = e if not 0 <= brace < e else scan.closing(brace) if code[brace] == "{" else brace + 1
                 sid = symbol(f"{cls}.{m['name']}", "method", m.start(), end, owner, static="static" in m["mods"] or None)
                 emit("method", m.start(), end, sid)
                 i = end
             else:
-                end = max(statement_end(code[:e], m.end("name")), m.end("name"))
+                end = max(scan.statement_end(m.end("name"), e), m.end("name"))
                 if text[m.start() : end].strip():
                     fields.append((m.start(), end))
                 i = max(end, i + 1)
@@ -112,8 +143,8 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
             continue
         m = DECLARE.match(code, i)
         if not m:
-            default = re.match(r"export\s+default\s+", code[i:])
-            end = max(statement_end(code, i + (default.end() if default else 0)), i + 1)
+            default = DEFAULT.match(code, i)
+            end = max(scan.statement_end(default.end() if default else i), i + 1)
             if default:
                 emit("chunk", i, end, symbol("default", "const", i, end, root, exported=True, default_export=True))
             i = end
@@ -121,10 +152,13 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
         kind, name = m["kind"], m["name"] or "default"
         flags = {"exported": bool(m["export"]) or None, "default_export": bool(m["default"]) or None}
         if kind in ("class", "interface", "enum", "namespace") or kind.startswith("function"):
-            brace = code.find("{", m.end() if not kind.startswith("function") else closing(code, code.find("(", m.end()), "()") if "(" in code[m.end() :] else m.end())
-            end = closing(code, brace) if brace >= 0 else statement_end(code, i)
+            head = m.end()
+            if kind.startswith("function") and (params := scan.find("(", head)) >= 0:
+                head = scan.closing(params)
+            brace = scan.find("{;", head)
+            end = scan.closing(brace) if brace >= 0 and code[brace] == "{" else brace + 1 if brace >= 0 else scan.statement_end(i)
             if kind == "class":
-                extends = re.search(r"\bextends\b([^{]*)", code[m.end() : brace])
+                extends = re.search(r"\bextends\b([^{]*)", code[m.end() : max(brace, m.end())])
                 sid = symbol(name, "class", i, end, root, **flags, extends=extends[1].split("implements")[0].strip() if extends else None)
                 emit("chunk", i, end, sid)
                 members(sid, name, brace + 1, end - 1)
@@ -132,37 +166,49 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
                 sid = symbol(name, KINDS[kind], i, end, root, **flags)
                 emit("function" if kind.startswith("function") else "chunk", i, end, sid)
         else:
-            end = max(statement_end(code, i), m.end())
+            end = max(scan.statement_end(i), m.end())
             sid = symbol(name, KINDS[kind], i, end, root, **flags) if kind in KINDS else root
             emit("chunk", i, end, sid)
         i = end
-    for s, e in jsx(code):
+    for s, e in jsx(scan):
         out.chunks.append(Chunk(f"html:delegate:{handler}:jsx:{at.byte(s)}:{at.byte(e)}", text[s:e], at.byte(s), at.byte(e), 0, root, "html", meta={"delegate_parent_symbol": root, **at.span(s, e)}))
     return out
 
 
-def jsx(code: str) -> list[tuple[int, int]]:
-    """Places of JSX elements of every level: a tag where an expression may begin."""
-    out: list[tuple[int, int]] = []
+def jsx(scan: Scan) -> list[tuple[int, int]]:
+    """Places of JSX elements of every level: a tag where an expression may begin, or
+    within another, up to its end tag.  One pass with a stack of open tags."""
+    code, out, held, past = scan.code, [], [], 0
     for m in JSX.finditer(code):
-        before = code[: m.start()].rstrip()
-        inside = any(s < m.start() < e for s, e in out)
-        if not inside and not re.search(r"(?:[=(,?:&|>{\[]|=>|\breturn)$", before):
+        if m.start() < past:  # within the head of a tag
             continue
-        name = m[1] or ""
-        tag_end = re.compile(r"/?>").search(code, m.end() - (0 if name else 1))
-        if not tag_end:
+        name = m["name"] or ""
+        if m["close"]:
+            close = code.find(">", m.end())
+            if close >= 0 and any(t == name for t, _ in held[-JSX_DEPTH:]):
+                while held[-1][0] != name:
+                    held.pop()
+                out.append((held.pop()[1], close + 1))
             continue
-        if tag_end[0] == "/>":
-            out.append((m.start(), tag_end.end()))
+        before = m.start() - 1
+        while before >= 0 and code[before].isspace():
+            before -= 1
+        word = code[max(0, before - 5) : before + 1] == "return" and not (before > 5 and (code[before - 6].isalnum() or code[before - 6] in "_$"))
+        if not held and not (before >= 0 and (code[before] in BEFORE_JSX or word)):
             continue
-        depth, i = 1, tag_end.end()
-        for t in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*?(/?)>", code[i:]):
-            depth += -1 if t[1] else (0 if t[2] else 1)
-            if not depth:
-                out.append((m.start(), i + t.end()))
-                break
-    return out
+        if not name and code[m.end()] != ">":
+            continue
+        end = TAG_END.search(code, m.end())
+        while end and end[0] == "{":
+            end = TAG_END.search(code, scan.closing(end.start()))
+        if not end:
+            break
+        past = end.end()
+        if end[0] == "/>":
+            out.append((m.start(), past))
+        else:
+            held.append((name, m.start()))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
 def parse_js(path: str, text: str, limits: Limits) -> Parsed:

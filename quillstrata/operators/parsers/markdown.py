@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from quillstrata.operators.parsers.base import Chunk, Limits, Parsed, Places, Symbol
 
@@ -18,7 +19,12 @@ def parse(path: str, text: str, limits: Limits) -> Parsed:
     if front:
         out.chunks.append(Chunk("markdown:front-matter", front[0], 0, at.byte(body), meta=at.span(0, body)))
     fences = [m for m in FENCE.finditer(text, body)]
-    inside = lambda i: any(m.start() <= i < m.end() for m in fences)
+    opened = [m.start() for m in fences]
+
+    def inside(i: int) -> bool:
+        k = bisect_right(opened, i)
+        return k > 0 and i < fences[k - 1].end()
+
     heads = [m for m in HEADING.finditer(text, body) if not inside(m.start())]
     stack: list[tuple[int, str]] = []
     ids = []
@@ -43,12 +49,14 @@ def parse(path: str, text: str, limits: Limits) -> Parsed:
             cid = f"markdown:section:{at.byte(start)}:{at.byte(end)}"
             out.chunks.append(Chunk(cid, text[start:end], at.byte(start), at.byte(end), i, ids[i], meta={"title": m[2].strip(), "level": len(m[1]), "intro_attached": i == 0 and intro, **at.span(start, end)}))
             sections.append((start, end, ids[i], cid))
+    begun = [s[0] for s in sections]
     for n, m in enumerate(fences):
         code = m[4]
         if not code.strip():
             continue
         start, end = m.start(4), m.end(4)
-        owner = next((s for s in sections if s[0] <= m.start() < s[1]), None)
+        k = bisect_right(begun, m.start())
+        owner = sections[k - 1] if k and m.start() < sections[k - 1][1] else None
         words = m[3].split()
         language = words[0].lower() if words else None
         if language:

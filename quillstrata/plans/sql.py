@@ -102,8 +102,8 @@ ORACLE: dict[str, str] = {
   SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:script|style)[^>]*>(.*?)</(?:script|style)>', 1)) AS body FROM pages
 ) SELECT page_id, count(*) AS parents, count(*)::BIGINT AS children FROM b WHERE regexp_matches(body, '\S') GROUP BY page_id""",
     "url_module_names": rf"SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace({PATH}, '\.[^./]*$', ''), '^/+', ''), '/+$', ''), '/', '.') AS module, {SUFFIX} AS suffix FROM pages",
-    "handler_resolution": f"""WITH h AS (SELECT CASE WHEN {SUFFIX} IN ('md', 'markdown') THEN 'markdown' WHEN {SUFFIX} IN ('py', 'pyi') THEN 'python' WHEN {SUFFIX} IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' WHEN {SUFFIX} IN ('ts', 'tsx') THEN 'typescript'
-  WHEN {SUFFIX} IN ('html', 'htm') THEN 'html' WHEN {SUFFIX} = 'css' THEN 'css' WHEN {SUFFIX} = 'txt' THEN 'text' END AS by_suffix FROM pages)
+    "handler_resolution": f"""WITH h AS (SELECT CASE WHEN {SUFFIX} IN ('md', 'markdown', 'mdown', 'mkdn', 'mkd') THEN 'markdown' WHEN {SUFFIX} IN ('py', 'pyw', 'pyi') THEN 'python' WHEN {SUFFIX} IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript'
+  WHEN {SUFFIX} IN ('ts', 'tsx', 'cts', 'mts') THEN 'typescript' WHEN {SUFFIX} IN ('html', 'htm') THEN 'html' WHEN {SUFFIX} IN ('css', 'scss', 'less') THEN 'css' WHEN {SUFFIX} IN ('txt', 'log', 'ini', 'toml', 'cfg') THEN 'text' END AS by_suffix FROM pages)
 SELECT coalesce(by_suffix, 'text') AS handler, CASE WHEN by_suffix IS NULL THEN 'default' ELSE 'extension' END AS reason, count(*) AS files FROM h GROUP BY ALL""",
     "stage_first_batch": f"WITH {chunks('c', 'documents')} SELECT doc_id::VARCHAR AS file_id, chunk_id, 'b1' AS batch_id, 'b1' AS first_seen_batch, 'b1' AS last_seen_batch, {HASH} AS content_hash, 'insert' AS op FROM c",
     "stage_second_batch": f"{STAGED} SELECT {SLICES}, op FROM staged",

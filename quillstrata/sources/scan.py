@@ -116,8 +116,9 @@ def scoped(found: DataFrame, scope: list[str]) -> DataFrame:
 
 def plan(found: DataFrame, version: str = "1.0.0", enabled: set[str] | None = None) -> DataFrame:
     """Each file with its handler, why, and its versioned hash."""
-    head = F.try_validate_utf8(F.substring(F.col("content"), 1, 200).cast("string"))
-    handler, reason = resolve(F.col("path"), F.coalesce(head, F.lit("")), enabled=enabled)
+    # only a first line that begins with #! matters, however long it is
+    line = F.substring_index(F.when(F.substring(F.col("content"), 1, 2) == F.lit(b"#!"), F.col("content").cast("string")), "\n", 1)
+    handler, reason = resolve(F.col("path"), F.coalesce(F.try_validate_utf8(line), F.lit("")), enabled=enabled)
     return found.withColumns({"handler": handler, "reason": reason, "file_sha": T.versioned_hash(version, F.col("content"), F.col("path"), binary=True)})
 
 

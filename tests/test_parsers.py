@@ -1,5 +1,7 @@
 """Structure parsers on inputs of every shape."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ HTML = """<!doctype html><html><head><style>
 def test_html():
     p = run_one("html", "u", HTML, LETTERS)
     kinds = [s.name for s in p.symbols]
-    assert kinds[0] == "u" and {"html", "head", "body", "section", "h1", "p"} <= set(kinds)
+    assert kinds == ["u", "head", "style", "body", "section", "p", "script", "script"]  # html and h1 are not structural
     by = {s.name: s for s in p.symbols}
-    assert by["h1"].parent == by["section"].symbol_id and by["section"].parent == by["body"].symbol_id
+    assert by["p"].parent == by["section"].symbol_id and by["section"].parent == by["body"].symbol_id
+    title = next(c for c in p.chunks if c.text == "Títle &amp; more")
+    assert title.symbol == by["section"].symbol_id
     code = {c.delegate: c for c in p.chunks if c.delegate}
     assert code["javascript"].text == 'if (a < b) { x = "</p>"; }' and code["css"].text == "body { color: red; }"
     shells = {c.chunk_id for c in p.chunks}
@@ -49,10 +53,24 @@ def test_html():
     loose = {c.meta["kind"]: c.text for c in p.chunks if "kind" in c.meta}
     assert loose["comment"] == "<!-- note -->" and "tail" in [c.text for c in p.chunks]
     raw = HTML.encode()
-    assert raw[by["h1"].start : by["h1"].end].decode() == "<h1>Títle &amp; more</h1>"
+    assert raw[by["p"].start : by["p"].end].decode() == "<p>one<br>two"
     assert not p.warnings
 
 
+def test_html_structural_elements():
+    tags = "article aside body details div fieldset figcaption figure footer form head header legend li main nav ol p section summary table tbody td thead tr ul".split()
+    p = run_one("html", "u", "".join(f"<{t}>x</{t}>" for t in (*tags, "html", "h1", "dl", "pre", "template", "span", "th")), LETTERS)
+    assert [s.name for s in p.symbols[1:]] == tags
+
+
+def test_html_with_a_disabled_delegate():
+    p = run_one("html", "u", HTML, Limits(2000, len, enabled=frozenset({"html", "css"})))
+    assert [c.delegate for c in p.chunks if c.delegate] == ["css"] and len(p.warnings) == 1
+    inline = next(c for c in p.chunks if ":inline:" in c.chunk_id)
+    assert inline.chunk_id.startswith("html:script:inline:") and inline.text == 'if (a < b) { x = "</p>"; }'
+    assert inline.meta["handler_enabled"] is False and inline.meta["delegate"] == "javascript"
+
+
 CSS = """/* head */
 a, b:is(.x, .y) { color: red; content: "}"; }
 @media (min-width: 1px) { .in { top: 0 } @supports (x: y) { .deep { left: 0 } } }
@@ -153,6 +171,54 @@ def test_typescript_and_jsx():
     assert [c.text for c in p.chunks if c.delegate == "html"] == ["<div id='a'><b>x</b></div>", "<b>x</b>"]
 
 
+def test_caps_of_handlers():
+    assert Limits("auto").of("javascript").max_tokens is None and Limits("auto").of("typescript").max_tokens is None
+    assert Limits("auto").of("python").max_tokens == 2000 and Limits("auto", general=7).of("css").max_tokens == 7
+    assert Limits("12").of("javascript").max_tokens == 12 and Limits().of("javascript").max_tokens == 2000 and Limits(0).of("css").max_tokens is None
+    body = "function f() {\n" + "  x();\n" * 40 + "}\n"
+    assert len([c for c in run_one("javascript", "a.js", body, Limits("auto", len, 50)).chunks if ":function:" in c.chunk_id]) == 1
+    assert len([c for c in run_one("javascript", "a.js", body, Limits(50, len)).chunks if ":function:" in c.chunk_id]) > 1
+
+
+def test_packing_by_sums_and_as_a_whole():
+    text, quarter = "a\nb\nc\nd\n", lambda t: -(-len(t) // 4)  # each line rounds up to one token; two lines together are one
+    assert base.split_lines(text, Limits(1, quarter)) == [(0, 2), (2, 4), (4, 6), (6, 8)]
+    assert base.split_lines(text, Limits(1, quarter), joined=True) == [(0, 4), (4, 8)]
+
+
+@pytest.mark.parametrize("handler,body", [("python", "-" * 100_000 + "1"), ("nosuch", "x"), ("html", None), ("python", "x = 1\0")])
+def test_one_bad_file_is_one_error_row(spark, handler, body):
+    df = spark.createDataFrame([(1, "a", body), (2, "b", "ok = 1")], "id long, path string, body string")
+    got = {r["key"]: r["errors"] for r in base.parse(df, F.when(F.col("id") == 1, handler).otherwise("python"), "id", "path", "body").collect()}
+    assert got["2"] == [] and len(got["1"]) == (body is not None)
+
+
+def test_typescript_overloads_end_at_their_semicolon():
+    p = run_one("typescript", "a.ts", "declare function f(a: string): void;\nexport class B { m(): void; n() { return 1 } }\n", LETTERS)
+    by = {s.name: s for s in p.symbols}
+    assert (by["f"].start, by["f"].end) == (0, 36) and {"B.m", "B.n"} <= set(by)
+
+
+def test_jsx_attributes_and_fragments():
+    p = run_one("javascript", "a.jsx", "const a = <><B on={() => { f(a > b) }} c='1'/><D>t</D></>;\nif (a < b) c();\n", LETTERS)
+    assert [c.text for c in p.chunks if c.delegate == "html"] == ["<><B on={() => { f(a > b) }} c='1'/><D>t</D></>", "<B on={() => { f(a > b) }} c='1'/>", "<D>t</D>"]
+
+
+def timed(handler, text):
+    began = time.process_time()
+    run_one(handler, "a", text, LETTERS)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize(
+    "handler,piece,n",
+    [("javascript", "const a = 1\n\n", 8000), ("javascript", "class A { a = 1\n b() { return 2 }\n}\n", 3000), ("javascript", "const x = <p class='y'>\n<b>{z}</b></p>;\n", 3000), ("markdown", "# h\n```js\nx\n```\n", 4000), ("html", "<div><p>x</p></div>\n", 4000), ("css", "a, b { top: 0 }\n", 4000)],
+)
+def test_parsers_are_linear(handler, piece, n):
+    one = min(timed(handler, piece * n) for _ in range(2))
+    assert timed(handler, piece * (3 * n)) < 6 * one + 0.5
+
+
 def test_parse_table_and_registry(spark):
     base.register("loud", lambda path, text, limits: base.Parsed(chunks=[base.Chunk("loud:0", text.upper(), 0, len(text))]))
     df = spark.createDataFrame([(1, "a.py", "x = 1"), (2, "b.py", "def ("), (3, "c.py", None)], "id long, path string, body string")
@@ -161,7 +227,7 @@ def test_parse_table_and_registry(spark):
     assert [r["content_text"] for r in base.chunks(base.parse(df.where("id = 1"), "loud", "id", "path", "body")).collect()] == ["X = 1"]
 
 
-@pytest.mark.parametrize("path,body,want", [("a.md", "", ("markdown", "extension")), ("run", "#!/usr/bin/env python3\n", ("python", "shebang")), ("x.bin", "", ("text", "default")), ("a.css", "", ("text", "fallback"))])
+@pytest.mark.parametrize("path,body,want", [("a.md", "", ("markdown", "extension")), ("run", "#!/usr/bin/env python3\n", ("python", "shebang")), ("x.bin", "", ("text", "default")), ("a.css", "", ("text", "fallback")), ("a.mkd", "", ("markdown", "extension")), ("x", "#!/usr/bin/Python2 -u\n", ("python", "shebang")), ("x", "#!/usr/bin/deno\n", ("text", "default")), ("a.cfg", "", ("text", "extension"))])
 def test_resolve(spark, path, body, want):
     h, r = base.resolve(F.lit(path), F.lit(body), enabled={"markdown", "python"})
     assert tuple(spark.range(1).select(h, r).first()) == want
