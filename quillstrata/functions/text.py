@@ -109,7 +109,8 @@ def front_matter(text: Column) -> Column:
 
 def paragraph_pieces(text: Column) -> Column:
     """The text cut after every blank-line separator; blank pieces are kept as gaps."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"(?sU)(.*?(?:\n\s*\n|\z))"), F.lit(1)), lambda x: x != "")
+    cut = F.filter(F.regexp_extract_all(text, F.lit(r"(?sU)(.*?(?:\n\s*\n|\z))"), F.lit(1)), lambda x: x != "")
+    return F.when(text.rlike(r"(?U)\n\s*\n"), cut).otherwise(F.array(text))
 
 
 def indentation_pieces(text: Column) -> Column:

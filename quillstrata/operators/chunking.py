@@ -10,19 +10,32 @@ from quillstrata.functions import text as T
 HANDLER, VERSION = "text", "1.0.0"
 
 
+#: Pieces that one inner fold places.
+RUN = 256
+
+
 def _placed(pieces: Column) -> Column:
-    """Each piece with its start in characters, bytes and lines, from one fold."""
-    kind = "struct<chars:int,bytes:int,lines:int,out:array<struct<chars:int,bytes:int,lines:int,body:string>>>"
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("bytes"), F.lit(0).alias("lines"), F.array().cast("array<struct<chars:int,bytes:int,lines:int,body:string>>").alias("out")).cast(kind)
-
-    def add(acc: Column, piece: Column) -> Column:
-        here = F.struct(acc["chars"].alias("chars"), acc["bytes"].alias("bytes"), acc["lines"].alias("lines"), piece.alias("body"))
-        lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n")))
-        return F.struct(
-            (acc["chars"] + F.length(piece)).alias("chars"), (acc["bytes"] + F.octet_length(piece)).alias("bytes"), (acc["lines"] + lines).alias("lines"), F.array_append(acc["out"], here).alias("out")
-        ).cast(kind)
-
-    return F.aggregate(pieces, start, add, lambda acc: acc["out"])
+    """Each piece with its start in characters, bytes and lines.
+
+    A fold that appends copies what it has, so pieces are placed within runs of `RUN`, runs
+    after each other, and then moved to their run's start: about linear in the pieces.
+    """
+    place, kind = ("chars", "bytes", "lines"), "struct<chars:int,bytes:int,lines:int,body:string>"
+
+    def fold(items: Column, widths, last: str, of: Column) -> Column:
+        """Starts and ends of items of known widths, from 0."""
+        zero = F.struct(*[F.lit(0).alias(c) for c in place], F.array().cast(f"array<{of}>").alias("out"))
+
+        def add(acc: Column, item: Column) -> Column:
+            here = F.struct(*[acc[c].alias(c) for c in place], item[last].alias(last) if last == "out" else item.alias(last))
+            return F.struct(*[(acc[c] + w).alias(c) for c, w in zip(place, widths(item), strict=True)], F.array_append(acc["out"], here).alias("out"))
+
+        return F.aggregate(items, zero, add)
+
+    piece_widths = lambda x: (F.length(x), F.octet_length(x), F.length(x) - F.length(F.replace(x, F.lit("\n"))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int")), lambda i: fold(F.slice(pieces, i * RUN + 1, F.lit(RUN)), piece_widths, "body", kind))
+    moved = fold(runs, lambda r: tuple(r[c] for c in place), "out", f"struct<chars:int,bytes:int,lines:int,out:array<{kind}>>")["out"]
+    return F.flatten(F.transform(moved, lambda r: F.transform(r["out"], lambda p: F.struct(*[(p[c] + r[c]).alias(c) for c in place], p["body"].alias("body")))))
 
 
 def text_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -99,7 +99,11 @@ def _parse(handler: str, path: str, text: str, limits: Limits) -> Parsed:
     out.symbols.append(Symbol(root, module, "module", 0, at.byte(len(text)), docstring=doc))
 
     def emit(label: str, s: int, e: int, symbol: str, **meta: object) -> None:
-        for n, (a, b) in enumerate(split_lines(text[s:e], limits, joined=True)):
+        parts = split_lines(text[s:e], limits, joined=True)
+        if len(parts) > 1:
+            meta["overflow"] = True
+            out.warnings.append(f"a {label} is split into {len(parts)} parts")
+        for n, (a, b) in enumerate(parts):
             out.chunks.append(Chunk(f"{handler}:{label}:{at.byte(s + a)}:{at.byte(s + b)}:{n}", text[s + a : s + b], at.byte(s + a), at.byte(s + b), n, symbol, meta={**at.span(s + a, s + b), **meta}))
 
     def symbol(name: str, kind: str, s: int, e: int, parent: str, **meta: object) -> str:

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 SLICE_KEY = ["file_id", "chunk_id", "part_index"]
 #: Columns whose equality makes a slice the same as before.
-SIGNATURE = ["handler_name", "handler_version", "part_total", "symbol_id", "start_line", "end_line", "start_byte", "end_byte", "token_count", "content_hash", "content_norm_hash", "metadata_json"]
+#: The key and content_text count as well: the key is what rows are matched by, and the
+#: text is in content_hash.
+SIGNATURE = [
+    "handler_name", "handler_version", "part_total", "symbol_id", "parent_symbol_id", "start_line", "end_line", "start_byte", "end_byte", "token_count", "content_hash", "content_norm_hash",
+    "overflow_is_truncated", "overflow_reason", "metadata_json",
+]
 SYMBOL_SIGNATURE = ["kind", "start_line", "end_line", "symbol_sha", "symbol_norm_sha", "docstring", "tokens"]
 
 
@@ -81,6 +86,39 @@ def renumber_parts(slices: DataFrame) -> DataFrame:
     return slices.withColumns({"part_total": F.count("*").over(chunk).cast("int"), "part_index": (F.row_number().over(chunk.orderBy("part_index")) - 1).cast("int")})
 
 
+def _signed(slices: DataFrame, side: str) -> DataFrame:
+    """Keys, times and a digest of the signature: what reuse is decided on, without texts."""
+    never, no_one = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    old = side == "old"
+    return slices.select(
+        *SLICE_KEY, F.lit(old).alias("old"), F.unhex(F.md5(F.to_json(F.struct(*SIGNATURE)).cast("binary"))).alias("sig"),
+        *[(F.col(c) if old else no_one).alias(c) for c in ("batch_id", "first_seen_batch", "last_seen_batch")], *[(F.col(c) if old else never).alias(c) for c in ("created_at", "updated_at")],
+    )
+
+
+def decide(old: DataFrame, new: DataFrame, batch: str) -> DataFrame:
+    """What becomes of every old and new slice: its key, old, batch_id, op (insert, update,
+    touch, keep, or drop) and, of rows that are written, created_at and first_seen_batch.
+
+    Old and new rows meet once by chunk; all windows below are over that one distribution.
+    """
+    rows = _signed(old, "old").unionByName(_signed(new, "new")).repartition("file_id", "chunk_id")
+    part, chunk = Window.partitionBy(*SLICE_KEY), Window.partitionBy("file_id", "chunk_id")
+    newest = F.row_number().over(Window.partitionBy(*SLICE_KEY, "old").orderBy(F.desc("updated_at"), F.desc("last_seen_batch"))) == 1
+    rows = rows.withColumn("latest", F.col("old") & newest)
+    now, before = F.max(F.when(~F.col("old"), F.col("sig"))).over(part), F.max(F.when(F.col("latest"), F.col("sig"))).over(part)
+    held = F.max(F.when(F.col("old") & (F.col("batch_id") == batch), F.struct("created_at", "first_seen_batch"))).over(part)
+    rows = rows.withColumns({"same": F.coalesce(now == before, F.lit(False)), "renewed": now.isNotNull(), "held": held})
+    counts = F.col("latest") | ~F.col("old")
+    born = F.min(F.when(F.col("old"), F.struct("created_at", "first_seen_batch"))).over(chunk)
+    rows = rows.withColumns({"given": F.max(~F.col("old")).over(chunk), "reused": F.every(~counts | F.col("same")).over(chunk), "born": born})
+    written = F.col("given") & ~F.col("reused")
+    op_old = F.when(F.col("latest") & F.col("given") & F.col("reused"), "touch").when(written & F.col("renewed") & (F.col("batch_id") == batch), "drop").otherwise("keep")
+    op_new = F.when(~written, "drop").when(F.col("held").isNull(), "insert").otherwise("update")
+    first = F.coalesce("held.first_seen_batch", "born.first_seen_batch", F.lit(batch))
+    return rows.select(*SLICE_KEY, "old", "batch_id", F.when(F.col("old"), op_old).otherwise(op_new).alias("op"), F.col("held.created_at").alias("held_at"), first.alias("first_seen"))
+
+
 def persist_slices(old: DataFrame, new: DataFrame, batch: str, at: Column) -> DataFrame:
     """The slice table after a batch, with op: insert, update, touch or keep.
 
@@ -88,43 +126,17 @@ def persist_slices(old: DataFrame, new: DataFrame, batch: str, at: Column) -> Da
     their batch and only last_seen_batch moves.  Any other chunk of the batch is written
     anew, with the first-seen batch of its oldest version.  Chunks the batch does not
     name stay as they are, so reading by last_seen_batch no longer shows them.
+
+    Reuse is decided on keys and digests; texts are fetched once, by the decisions.
     """
-    chunk = ["file_id", "chunk_id"]
-    latest = latest_slices(old)
-    o, n = latest.alias("o"), new.alias("n")
-    pairs = n.join(o, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in SLICE_KEY], "full")
-    both = F.col("o.chunk_id").isNotNull() & F.col("n.chunk_id").isNotNull()
-    verdict = (
-        pairs.select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in chunk], (both & _same(SIGNATURE, "o", "n")).alias("same"), F.col("n.chunk_id").isNotNull().alias("given"))
-        .groupBy(chunk)
-        .agg(F.every("same").alias("reused"), F.some("given").alias("given"))
-        .where("given")
-        .drop("given")
-    )
-    births = old.groupBy(chunk).agg(F.min_by("first_seen_batch", F.struct("created_at", "first_seen_batch")).alias("__first"))
-
-    # Reused chunks: only the latest version of a part moves.
-    newest = latest.select(*SLICE_KEY, F.col("updated_at").alias("__at"), F.col("batch_id").alias("__batch")).join(verdict.where("reused"), chunk, "left_semi")
-    marked = old.join(newest, [*SLICE_KEY], "left")
-    touch = F.col("__at").isNotNull() & (F.col("__at") == F.col("updated_at")) & (F.col("__batch") == F.col("batch_id"))
-    moved = marked.withColumns(
-        {
-            "op": F.when(touch, "touch").otherwise("keep"),
-            "last_seen_batch": F.when(touch, F.lit(batch)).otherwise(F.col("last_seen_batch")),
-            "updated_at": F.when(touch, at).otherwise(F.col("updated_at")),
-        }
-    ).select(*old.columns, "op")
-
-    written = new.join(verdict.where(~F.col("reused")), chunk, "left_semi").join(births, chunk, "left")
-    written = written.withColumns({"batch_id": F.lit(batch), "first_seen_batch": F.coalesce("__first", F.lit(batch)), "last_seen_batch": F.lit(batch), "created_at": at, "updated_at": at})
-    written = written.select(*old.columns)
-    same_batch = old.where(F.col("batch_id") == batch).select(*SLICE_KEY, F.col("created_at").alias("__created"), F.col("first_seen_batch").alias("__birth"))
-    written = written.join(same_batch, SLICE_KEY, "left").withColumns(
-        {"op": F.when(F.col("__created").isNull(), "insert").otherwise("update"), "created_at": F.coalesce("__created", "created_at"), "first_seen_batch": F.coalesce("__birth", "first_seen_batch")}
-    )
-    written = written.select(*old.columns, "op")
-    replaced = written.where("op = 'update'").select("batch_id", *SLICE_KEY)
-    return moved.join(replaced, ["batch_id", *SLICE_KEY], "left_anti").select(*old.columns, "op").unionByName(written)
+    made = decide(old, new, batch).where("op != 'drop'")
+    was = made.where("old").select("batch_id", *SLICE_KEY, "op")
+    touch = F.col("op") == "touch"
+    moved = old.join(was, ["batch_id", *SLICE_KEY]).withColumns({"last_seen_batch": F.when(touch, F.lit(batch)).otherwise(F.col("last_seen_batch")), "updated_at": F.when(touch, at).otherwise(F.col("updated_at"))})
+    due = made.where(~F.col("old")).select(*SLICE_KEY, "op", "held_at", "first_seen")
+    written = new.drop("batch_id", "first_seen_batch", "last_seen_batch", "created_at", "updated_at").join(due, SLICE_KEY)
+    written = written.withColumns({"batch_id": F.lit(batch), "first_seen_batch": F.col("first_seen"), "last_seen_batch": F.lit(batch), "created_at": F.coalesce("held_at", at), "updated_at": at})
+    return moved.select(*old.columns, "op").unionByName(written.select(*old.columns, "op"))
 
 
 def touch_chunks(slices: DataFrame, chunks: DataFrame, batch: str, at: Column) -> DataFrame:

@@ -11,8 +11,8 @@ from quillstrata.operators.parsers import base as parsers
 
 VERSION = "1.0.0"
 SLICES = (
-    "batch_id string, file_id string, chunk_id string, part_index int, part_total int, handler_name string, handler_version string, symbol_id string, start_line int, end_line int, start_byte long, end_byte long, "
-    "token_count int, content_hash string, content_norm_hash string, content_text string, metadata_json string, created_at timestamp, updated_at timestamp, first_seen_batch string, last_seen_batch string"
+    "batch_id string, file_id string, chunk_id string, part_index int, part_total int, handler_name string, handler_version string, symbol_id string, parent_symbol_id string, start_line int, end_line int, start_byte long, end_byte long, "
+    "token_count int, content_hash string, content_norm_hash string, content_text string, overflow_is_truncated boolean, overflow_reason string, metadata_json string, created_at timestamp, updated_at timestamp, first_seen_batch string, last_seen_batch string"
 )
 SYMBOLS = "file_id string, symbol_path string, kind string, start_line int, end_line int, symbol_sha string, symbol_norm_sha string, docstring string, tokens int, first_seen_batch string, last_seen_batch string"
 
@@ -22,8 +22,8 @@ def text_slices(docs: DataFrame, key: str, text: str) -> DataFrame:
     c = chunking.with_hashes(chunking.text_chunks(docs, key, text))
     return c.select(
         F.col(key).cast("string").alias("file_id"), "chunk_id", F.lit(0).alias("part_index"), F.lit(1).alias("part_total"), F.lit(chunking.HANDLER).alias("handler_name"), F.lit(chunking.VERSION).alias("handler_version"),
-        F.lit(None).cast("string").alias("symbol_id"), "start_line", "end_line", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "token_count", "content_hash", "content_norm_hash", "content_text",
-        T.canonical_json(strategy=F.col("strategy"), char_start=F.col("char_start"), char_end=F.col("char_end")).alias("metadata_json"),
+        F.lit(None).cast("string").alias("symbol_id"), F.lit(None).cast("string").alias("parent_symbol_id"), "start_line", "end_line", F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "token_count", "content_hash", "content_norm_hash", "content_text",
+        F.lit(False).alias("overflow_is_truncated"), F.lit(None).cast("string").alias("overflow_reason"), T.canonical_json(strategy=F.col("strategy"), char_start=F.col("char_start"), char_end=F.col("char_end")).alias("metadata_json"),
     )
 
 
@@ -32,10 +32,12 @@ def parsed_slices(parsed: DataFrame) -> DataFrame:
     c = parsers.chunks(parsed.where(F.size("errors") == 0))
     name = F.coalesce("delegate", "handler")
     norm = T.normalize_lines(F.col("content_text"))
+    meta = lambda name: F.get_json_object("metadata_json", f"$.{name}")
     return c.select(
-        F.col("key").alias("file_id"), "chunk_id", F.lit(0).alias("part_index"), F.lit(1).alias("part_total"), name.alias("handler_name"), F.lit(VERSION).alias("handler_version"), F.col("symbol").alias("symbol_id"),
+        F.col("key").alias("file_id"), "chunk_id", F.lit(0).alias("part_index"), F.lit(1).alias("part_total"), name.alias("handler_name"), F.lit(VERSION).alias("handler_version"), F.col("symbol").alias("symbol_id"), meta("delegate_parent_symbol").alias("parent_symbol_id"),
         "start_line", "end_line", "start_byte", "end_byte", "token_count", T.versioned_hash(VERSION, F.col("content_text"), F.col("chunk_id"), name).alias("content_hash"),
-        F.when(norm != "", T.versioned_hash(VERSION, norm, F.col("chunk_id"), name)).alias("content_norm_hash"), "content_text", "metadata_json",
+        F.when(norm != "", T.versioned_hash(VERSION, norm, F.col("chunk_id"), name)).alias("content_norm_hash"), "content_text",
+        (F.coalesce(meta("overflow"), F.lit("false")).eqNullSafe("true") | F.coalesce(meta("overflow_is_truncated"), F.lit("false")).eqNullSafe("true")).alias("overflow_is_truncated"), meta("overflow_reason").alias("overflow_reason"), "metadata_json",
     )
 
 
