@@ -9,10 +9,16 @@ word goes if a window that covers it holds a word sequence that also starts earl
    super-k-mers: consecutive windows with the same minimiser (the smallest hash among
    the window's m-word groups) travel as one string to the minimiser's bucket, packed
    with those of the run that go the same way.  So a passage that a third of all
-   documents share reaches its bucket once a run, not once a document.
+   documents share reaches its bucket once a run, not once a document.  Windows of a
+   minimiser that is in very many windows (near copies that differ elsewhere, say) go by
+   the smallest hash of their longer groups instead, to many buckets.  Which minimisers
+   are so is estimated on one document in `SAMPLE_IN`: it only decides the way, which is
+   the same for equal windows whatever the estimate.
 2. A bucket sorts its windows by hash, confirms equal neighbours word by word, and
-   reports those that are not the first.  Their number grows with the input, the size
-   of a bucket does not.
+   reports those that are not the first.  Buckets stream by; one above `HOLD_BYTES` is
+   settled in pieces, and the windows that are first in their piece go on by a hash of
+   all their words, to further rounds, until every bucket is held whole.  A piece is of
+   at least two parts and hands on one window of each sequence, so rounds end.
 3. Reports meet the documents in a join on the document, and words are cut.
 
 Defined results
@@ -27,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -39,11 +46,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstrata.llm.common import cut as write_once
+
 WINDOW = 20
 GROUP = 3
 RUN_BYTES = 4 << 20
 #: Bytes of text for each bucket; its super-k-mers are about three times as long.
 BUCKET_BYTES = 3 << 20
+#: Unpacked bytes of a bucket that are settled at once; ways from a bucket above it.
+HOLD_BYTES, WAYS = 32 << 20, 64
+#: Windows from which a minimiser is split (more where the list would exceed HOT_MOST),
+#: the share of documents it is estimated on, and words that the longer groups lack.
+HOT_WINDOWS, HOT_MOST, SAMPLE_IN, SHORTER = 200_000, 1_000_000, 32, 4
 LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,6 +134,18 @@ def firsts(ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, k: int) -> n
     return out
 
 
+def ways(h: np.ndarray, sent: np.ndarray, k: int, m: int, hot: np.ndarray) -> np.ndarray:
+    """What a window's bucket follows from: its minimiser, or, where that is hot, the
+    smallest hash of its longer groups.  Equal windows have equal ways."""
+    low = minimisers(h, k, m)[sent]
+    if not len(hot):
+        return low
+    is_hot = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+    if is_hot.any():
+        low[is_hot] = _mix(minimisers(h, k, max(m, k - SHORTER))[sent[is_hot]] ^ MIX)
+    return low
+
+
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for lengths[0] items, and so on."""
     total = int(lengths.sum())
@@ -137,7 +163,7 @@ def _runs(places: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[at], places[np.append(at[1:], len(places)) - 1]
 
 
-def split_run(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+def split_run(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """docs: (id, text hash, text).  Gives packed super-k-mers by bucket, and the settled
     windows that are not first: rows of (id, text hash, first start, last start)."""
     docs = sorted(docs, key=lambda d: d[:2])
@@ -166,12 +192,13 @@ def split_run(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int)
     settled = np.stack([np.array([docs[i][0] for i in who], np.int64), np.array([docs[i][1] for i in who], np.int64), a - begin[who], b - begin[who]], 1) if len(a) else none
 
     sent = places[first == places]
-    low = minimisers(h, k, m)[sent]
-    a, b = _runs(sent, (np.diff(low, prepend=low[:1]) != 0) | (np.diff(doc_of[sent], prepend=-1) != 0))
+    low = ways(h, sent, k, m, hot)
+    new = (np.diff(low, prepend=low[:1]) != 0) | (np.diff(doc_of[sent], prepend=-1) != 0)
+    a, b = _runs(sent, new)
     text = b" ".join(words)
     offset = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     offset = np.concatenate([[0], offset])
-    bucket = (_mix(minimisers(h, k, m)[a]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (_mix(low[np.searchsorted(sent, a)]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     a, b, bucket = a[order], b[order], bucket[order]
     edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -186,16 +213,17 @@ def split_run(docs: list[tuple[int, int, bytes]], buckets: int, k: int, m: int)
     return out, settled
 
 
-def judge_bucket(blobs: list[bytes], k: int) -> np.ndarray:
-    """Windows of a bucket that are not first: rows as split_run() settles."""
+def judge_bucket(raws: list[bytes], k: int, level: int | None = None) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Windows of a bucket that are not first: rows as split_run() settles.  With a
+    level, also the first ones, packed by the way (0 to WAYS - 1) of their words."""
     fields, words = [], []
-    for blob in blobs:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
+    for raw in raws:
         n = struct.unpack("<q", raw[:8])[0]
         fields.append(np.frombuffer(raw[8 : 8 + 32 * n], np.int64).reshape(n, 4))
         words += raw[8 + 32 * n :].split()
     f = np.concatenate(fields)
-    ids, h = Words().encode(words)
+    known = Words()
+    ids, h = known.encode(words)
     del words
     order = np.lexsort((f[:, 2], f[:, 1], f[:, 0]))
     began = np.cumsum(f[:, 3]) - f[:, 3]
@@ -204,7 +232,8 @@ def judge_bucket(blobs: list[bytes], k: int) -> np.ndarray:
     began = np.cumsum(f[:, 3]) - f[:, 3]
     windows = f[:, 3] - k + 1
     places = _spread(began, windows)
-    first = firsts(ids, window_hashes(h, k), places, k)
+    whole = window_hashes(h, k)
+    first = firsts(ids, whole, places, k)
     owner = np.repeat(np.arange(len(f)), windows)
     of = np.repeat(np.arange(len(f)), f[:, 3])
     lead = of[first]
@@ -212,10 +241,75 @@ def judge_bucket(blobs: list[bytes], k: int) -> np.ndarray:
     later = ~itself
     a, b = _runs(places[later], np.diff(owner[later], prepend=-1) != 0)
     who = of[a]
-    return np.stack([f[who, 0], f[who, 1], f[who, 2] + a - began[who], f[who, 2] + b - began[who]], 1)
+    done = np.stack([f[who, 0], f[who, 1], f[who, 2] + a - began[who], f[who, 2] + b - began[who]], 1)
+    if level is None:
+        return done, []
+    lone = first == places
+    at, who = places[lone], owner[lone]
+    way = (_mix(whole[at] ^ np.uint64(level)) % np.uint64(WAYS)).astype(np.int64)
+    text, squeeze = list(known), zstandard.ZstdCompressor(level=1).compress
+    packed = []
+    for w in np.unique(way).tolist():
+        own = np.flatnonzero(way == w)
+        rows = np.stack([f[who[own], 0], f[who[own], 1], f[who[own], 2] + at[own] - began[who[own]], np.full(len(own), k)], 1)
+        body = b" ".join(text[i] for i in ids[at[own][:, None] + np.arange(k)].ravel().tolist())
+        packed.append((w, squeeze(struct.pack("<q", len(own)) + rows.tobytes() + body)))
+    return done, packed
+
+
+def judge_stream(batches: Iterator[pa.RecordBatch], k: int, level: int, hold: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, blob) in order of bucket: reports, and what buckets of more than
+    `hold` bytes hand on."""
+
+    def rows(done: np.ndarray, packed: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        gap = [None] * len(packed)
+        numbers = [pa.array([*done[:, i].tolist(), *gap], pa.int64()) for i in range(4)]
+        on = [[*[None] * len(done), *column] for column in ([(bucket * WAYS + w) & LAST for w, _ in packed], [blob for _, blob in packed])]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(on[0], pa.int64()), pa.array(on[1], pa.binary())], schema=REPORT)
+
+    bucket, held, size, overfull = None, [], 0, False
+    for batch in batches:
+        for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            if struct.unpack("<q", raw[:8])[0] < 0:  # settled within its run
+                yield rows(np.frombuffer(raw[8:], np.int64).reshape(-1, 4), [])
+                continue
+            if own != bucket or (len(held) > 1 and size + len(raw) > hold):
+                overfull = overfull or own == bucket
+                if held:
+                    yield rows(*judge_bucket(held, k, level if overfull else None))
+                overfull = overfull and own == bucket
+                bucket, held, size = own, [], 0
+            held.append(raw)
+            size += len(raw)
+    if held:
+        yield rows(*judge_bucket(held, k, level if overfull else None))
+
+
+REPORT = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
 
-REPORT = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+def hot_minimisers(slim: DataFrame, volume: int, k: int, m: int) -> np.ndarray:
+    """Minimisers of about HOT_WINDOWS windows or more, in order: at most about HOT_MOST."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            while texts:
+                run, held = [], 0
+                while texts and (not run or held < RUN_BYTES):
+                    run.append(texts.pop().encode().split())
+                    held += 8 * len(run[-1])
+                counts = np.array([len(w) for w in run])
+                places = _spread(np.cumsum(counts) - counts, np.maximum(counts - k + 1, 0))
+                if len(places):
+                    low, n = np.unique(minimisers(Words().encode([w for ws in run for w in ws])[1], k, m)[places], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n, pa.int64())], names=["low", "n"])
+
+    least = max(HOT_WINDOWS, volume // (6 * HOT_MOST)) // SAMPLE_IN
+    some = slim.where(F.pmod(F.xxhash64("id", "hash"), F.lit(SAMPLE_IN)) == 0).select("text")
+    found = some.mapInArrow(tally, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, 1))
+    return np.sort(np.array([r["low"] for r in found.select("low").collect()], np.int64).view(np.uint64))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = GROUP) -> DataFrame:
@@ -226,10 +320,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     slim = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(64, volume // BUCKET_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast(hot_minimisers(slim, volume, k, m))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(run: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            packed, settled = split_run(run, buckets, k, m)
+            packed, settled = split_run(run, buckets, k, m, shared.value)
             if len(settled):
                 packed.append((int(settled[0, 1]) % buckets, zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", -1) + settled.tobytes())))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], pa.binary())], names=["bucket", "blob"])
@@ -246,22 +341,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         if run:
             yield rows(run)
 
-    def settle(table: pa.Table) -> pa.Table:
-        shipped, done = [], []
-        for blob in table.column("blob").to_pylist():
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            if struct.unpack("<q", raw[:8])[0] < 0:
-                done.append(np.frombuffer(raw[8:], np.int64).reshape(-1, 4))
-            else:
-                shipped.append(blob)
-        if shipped:
-            done.append(judge_bucket(shipped, k))
-        got = np.concatenate(done)
-        return pa.table([pa.array(got[:, i], pa.int64()) for i in range(4)], schema=REPORT)
-
-    packed = slim.mapInArrow(cut, "bucket long, blob binary")
-    found = packed.groupBy("bucket").applyInArrow(settle, "id long, hash long, first long, last long")
-    return found.groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    due, level, reports = slim.mapInArrow(cut, "bucket long, blob binary"), 1, None
+    while True:
+        judge = functools.partial(judge_stream, k=k, level=level, hold=HOLD_BYTES)
+        found = write_once(due.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "id long, hash long, first long, last long, bucket long, blob binary"), "reports")
+        own = found.where(F.col("blob").isNull()).select("id", "hash", "first", "last")
+        reports = own if reports is None else reports.unionByName(own)
+        due, level = found.where(F.col("blob").isNotNull()).select("bucket", "blob"), level + 1
+        if due.isEmpty():
+            return reports.groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
 def kept_words(text: str | None, spans: list[dict] | None, k: int) -> tuple[int, int, bytes]:

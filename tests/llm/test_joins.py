@@ -91,6 +91,41 @@ def test_every_linked_pair_shares_a_signature():
                 assert set(sig[who == 0]) & set(sig[who == 1])
 
 
+def test_passes_share_out_the_signatures():
+    rng = np.random.default_rng(4)
+    bands = ngram_join.Bands(4, 5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(60)]
+    whole = sorted(zip(*(x.tolist() for x in ngram_join.signatures(sets, bands)), strict=True))
+    parts = [p for turn in range(3) for p in zip(*(x.tolist() for x in ngram_join.signatures(sets, bands, turn, 3)), strict=True)]
+    assert sorted(parts) == whole
+    assert len(whole) >= sum(bands.signs(len(x)) for x in sets) * 0.5
+
+
+def test_buckets_stream_through_small_batches(spark, docs):
+    base = ngram_join.cut(ngram_join.prepare(docs, "doc_id", "text", 1, 7, 10), "sets")
+    want = sorted(tuple(r) for r in ngram_join.postings(base, 1, 7, 10).collect())
+    assert want
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("1", "3"):
+            spark.conf.set(name, size)
+            assert sorted(tuple(r) for r in ngram_join.postings(base, 1, 7, 10).collect()) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from quillstrata.llm.common import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        shared_dir(session)
+
+
 def test_sketch_never_hides_a_link():
     rng = np.random.default_rng(5)
     for _ in range(100):
@@ -125,6 +160,32 @@ def test_repeats_match_brute_force(docs, rows, k, m, monkeypatch):
     assert got == cut_repeats(rows, k)
 
 
+def test_repeats_through_overfull_buckets_and_hot_minimisers(docs, rows, monkeypatch):
+    """Every bucket is settled in pieces, over several rounds, and every minimiser is hot."""
+    rounds = []
+    whole = substring.write_once
+    monkeypatch.setattr(substring, "write_once", lambda df, name: rounds.append(name) or whole(df, name))
+    monkeypatch.setattr(substring, "RUN_BYTES", 2000)
+    monkeypatch.setattr(substring, "HOLD_BYTES", 1)
+    monkeypatch.setattr(substring, "SAMPLE_IN", 1)
+    monkeypatch.setattr(substring, "HOT_WINDOWS", 5)
+    got = sorted((tuple(r) for r in substring.remove_repeats(docs, k=5, m=2, digest=True).collect()), key=repr)
+    assert got == cut_repeats(rows, 5)
+    assert len(rounds) > 2
+
+
+def test_hot_minimisers_split_one_bucket():
+    """Windows that share a three-word group go to many buckets once it is hot."""
+    text = b" ".join(b"%d of the and %d" % (i, i + 1) for i in range(300))
+    words = text.split()
+    h = substring.Words().encode(words)[1]
+    sent = np.arange(len(words) - 19)
+    plain = substring.ways(h, sent, 20, 3, np.zeros(0, np.uint64))
+    hot = np.sort(np.unique(plain))
+    split = substring.ways(h, sent, 20, 3, hot)
+    assert len(np.unique(split)) > 2 * len(np.unique(plain))
+
+
 def test_repeats_of_empty_table(empty):
     assert substring.remove_repeats(empty).collect() == []
 
@@ -176,6 +237,8 @@ def test_decontamination_matches_brute_force(docs, rows, items):
 
 def test_decontamination_without_broadcast(docs, rows, items, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 50)
+    assert decontam.drop_contaminated(docs, items[1]).columns == docs.columns
     got = sorted((tuple(r) for r in decontam.report(docs, items[1]).collect()), key=repr)
     assert got == contamination(rows, items[0])
 
