@@ -5,10 +5,12 @@ counted.  Counts, continuation counts, discounts, context weights and probabilit
 are tables keyed by (language, order, bytes), built by grouped counts and joins on the
 key, so the model is sharded however large it grows.
 
-Scoring goes in blocks of text of one language.  A block lists its distinct n-grams and
-asks the shard of each for probability and context weight (a count join by shard that
-ships an n-gram once a block); the answers meet the block's text, and every byte of
-every document is scored.
+Scoring goes in blocks of text of one language, which are written once.  A block lists
+its distinct n-grams and asks the shard of each for probability and context weight (a
+count join by shard that ships an n-gram once a block); the answers meet the block's
+text, and every byte of every document is scored.  Shards grow in number with the model;
+each is copied once for `PART_BYTES` of text (more where the model is large, so that
+copies stay a tenth of the text), so neither rows nor tasks grow with the input's square.
 
 A document's bits for each byte, shrunk towards its language's mean by `PRIOR` bytes so
 that a short text is not judged by chance, give its perplexity.  A document is kept up
@@ -16,7 +18,9 @@ to the `QUANTILE` of its language's held-out trusted documents.
 
 Defined results
     null or empty text            0 bytes, the language's mean, kept
-    language without trusted text (null included): not judged, perplexity null, kept
+    null language                 judged by all trusted text together, with its own limit
+    language without trusted text: not judged, perplexity null, kept
+    ids                           whole numbers, or TypeError
     no held-out trusted document  threshold null, kept
     repeated rows                 each gets its row
     repeated labels               trusted if any row says so
@@ -31,17 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstrata.llm.common import crc32_of, cut
 
 ORDER = 4
 BLOCK_BYTES = 3 << 20
-SHARD_BYTES = 16 << 20
+#: N-grams of a shard of the model, and what one takes; text that asks one copy of a shard.
+SHARD_GRAMS, GRAM_BYTES, PART_BYTES = 1_000_000, 24, 64 << 20
 PRIOR = 300
 QUANTILE = 0.99
 #: Trusted ids up to which their table is broadcast to pick training text.
@@ -195,38 +200,40 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return key % PRIME % shards
 
 
-def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """id, lang, n (bytes), bits of every row of docs (id, lang number, text)."""
-
-    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[bytes]]]:
-        # A block's number follows from its partition and place, so that both passes
-        # over the documents make the same blocks; `finish` checks that they did.
-        task = TaskContext.get().partitionId()
-        for made, (lang, ids, texts) in enumerate(_runs(batches)):
-            yield task << 32 | made, lang, ids, texts
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block, lang, _, texts in cut_blocks(batches):
-            text, starts = _join(texts)
-            if not len(text):
-                continue
-            keys = np.concatenate([_key(lang, o, t["gram"]) for o, t in enumerate(compose(text, starts)[1])])
-            shard = _shard(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, squeeze(keys[order[edges[s] : edges[s + 1]]].tobytes())) for s in range(shards) if edges[s] < edges[s + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "shard", "blob"])
+def score(docs: DataFrame, model: DataFrame, shards: int, parts: int, top: int) -> DataFrame:
+    """id, lang, n (bytes), bits of every row of docs (id, lang number, text); languages
+    above `top` are scored as `top`."""
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for block, lang, ids, texts in cut_blocks(batches):
+        task = TaskContext.get().partitionId()
+        for made, (lang, ids, texts) in enumerate(_runs(batches)):
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([lang], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(b"".join(texts))], pa.binary())],
-                names=["block", "shard", "lang", "ids", "sizes", "blob"],
+                [pa.array([task << 32 | made], pa.int64()), pa.array([-1], pa.int32()), pa.array([lang], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(b"".join(texts))], pa.binary())],
+                names=["block", "cell", "lang", "ids", "sizes", "blob"],
             )
 
+    def read(blob: bytes, sizes: list[int], lang: int) -> tuple[np.ndarray, list[dict], np.ndarray, np.ndarray, np.ndarray]:
+        """A block's n-grams: keys, and what compose() gives; starts of its texts."""
+        text, starts = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), np.cumsum([0, *sizes])
+        number, tables, real = compose(text, starts)
+        return np.concatenate([_key(min(lang, top), o, t["gram"]) for o, t in enumerate(tables)]), tables, number, real, starts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for block, lang, sizes, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not sum(sizes):
+                    continue
+                keys = read(blob, sizes, lang)[0]
+                shard = _shard(keys, shards)
+                order = np.argsort(shard, kind="stable")
+                edges = np.searchsorted(shard[order], np.arange(shards + 1))
+                part = (block ^ block >> 32) % parts
+                rows = [(part * shards + s, squeeze(keys[order[edges[s] : edges[s + 1]]].tobytes())) for s in range(shards) if edges[s] < edges[s + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "cell", "blob"])
+
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         key = held.column("key").to_numpy()
         order = np.argsort(key)
@@ -238,29 +245,20 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             hit = key[at] == want if len(key) else np.zeros(len(want), bool)
             got = [np.where(hit, v[at], np.float32("nan")) if len(key) else np.full(len(want), np.nan, np.float32) for v in values]
-            mark = struct.pack("<Q", xxhash.xxh64_intdigest(want.tobytes()))
-            blobs.append(mark + zstandard.ZstdCompressor(level=1).compress(np.concatenate(got).tobytes()))
+            blobs.append(zstandard.ZstdCompressor(level=1).compress(np.concatenate(got).tobytes()))
         none = pa.nulls(len(blobs))
-        return pa.table([asked.column("block"), asked.column("shard"), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["block", "shard", "lang", "ids", "sizes", "blob"])
+        return pa.table([asked.column("block"), asked.column("cell"), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["block", "cell", "lang", "ids", "sizes", "blob"])
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = {s: i for i, s in enumerate(table.column("shard").to_pylist())}
+        rows = {c % shards if c >= 0 else -1: i for i, c in enumerate(table.column("cell").to_pylist())}
         own = table.slice(rows[-1], 1)
-        lang, ids, sizes = (own.column(c)[0].as_py() for c in ("lang", "ids", "sizes"))
-        text = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.column("blob")[0].as_py()), np.uint8)
+        lang, ids, sizes, blob = (own.column(c)[0].as_py() for c in ("lang", "ids", "sizes", "blob"))
         bits = np.zeros(len(ids))
-        if len(text):
-            starts = np.cumsum([0, *sizes])
-            number, tables, real = compose(text, starts)
-            keys = np.concatenate([_key(lang, o, t["gram"]) for o, t in enumerate(tables)])
-            order = np.argsort(_shard(keys, shards), kind="stable")
-            shard, got = _shard(keys, shards)[order], []
-            for s in np.unique(shard).tolist():
-                blob = table.column("blob")[rows[s]].as_py() if s in rows else b""
-                asked_for = struct.pack("<Q", xxhash.xxh64_intdigest(keys[order[shard == s]].tobytes()))
-                if blob[:8] != asked_for:
-                    raise ValueError("a block's n-grams are not those that were asked for: the input's partitions changed")
-                got.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.float32))
+        if sum(sizes):
+            keys, tables, number, real, starts = read(blob, sizes, lang)
+            shard = _shard(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(table.column("blob")[rows[s]].as_py()), np.float32) for s in np.unique(shard).tolist()]
             p, gamma = np.empty(len(keys), np.float64), np.empty(len(keys), np.float64)
             p[order] = np.concatenate([g[: len(g) // 2] for g in got])
             gamma[order] = np.concatenate([g[len(g) // 2 :] for g in got])
@@ -276,40 +274,58 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             bits[filled] = np.add.reduceat(cost, starts[filled])
         return pa.table({"id": pa.array(ids, pa.int64()), "lang": pa.array([lang] * len(ids), pa.int32()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.float64())})
 
-    layout = "block long, shard int, lang int, ids array<long>, sizes array<long>, blob binary"
-    asked = docs.mapInArrow(ask, "block long, shard int, blob binary")
-    held = model.withColumn("shard", (F.col("key") % PRIME % shards).cast("int"))
-    answers = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, layout)
-    return docs.mapInArrow(hand_on, layout).unionByName(answers).groupBy("block").applyInArrow(finish, "id long, lang int, n long, bits double")
+    # Blocks are written once: what asks and what finishes reads the same ones, also when
+    # a task runs again.
+    layout = "block long, cell int, lang int, ids array<long>, sizes array<long>, blob binary"
+    blocks = cut(docs.mapInArrow(hand_on, layout), "blocks")
+    asked = blocks.select("block", "lang", "sizes", "blob").mapInArrow(ask, "block long, cell int, blob binary")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    held = model.select("*", copies.alias("part")).select((F.col("part") * shards + F.col("key") % PRIME % shards).cast("int").alias("cell"), "key", "p", "gamma")
+    answers = asked.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(answer, layout)
+    return blocks.unionByName(answers).groupBy("block").applyInArrow(finish, "id long, lang int, n long, bits double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", folds: int = 5, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, keep of every document."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError("ids must be whole numbers")
     trusted = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     fold = F.pmod(crc32_of(F.col("id")), F.lit(folds))
-    sound = slim.join(ids, F.col("id") == F.col("trusted_id"), "left_semi").where(F.col("lang").isNotNull())
+    sound = slim.select("id", "lang").join(ids, F.col("id") == F.col("trusted_id"), "left_semi").where(F.col("lang").isNotNull())
     names = sorted(r["lang"] for r in sound.select("lang").distinct().collect())
     if len(names) > 30_000:
         raise ValueError("more languages than keys have room for")
+    pool = len(names)  # all trusted text together, for texts without a language; the one after it marks held-out texts that are scored under it too
     numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, number int")  # a row for each language
-    numbered = slim.join(F.broadcast(numbers), F.col("lang") == F.col("name"), "left").select("id", F.coalesce("number", F.lit(-1)).alias("lang"), "text")
-    model = build(count(numbered.where((F.col("lang") >= 0) & (fold != 0)).join(ids, F.col("id") == F.col("trusted_id"), "left_semi")))
-    volume = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(16, volume // SHARD_BYTES)
-    known = score(numbered.where(F.col("lang") >= 0), model, shards)
-    scored = cut(known.join(F.broadcast(numbers), F.col("lang") == F.col("number")).select("id", "name", "n", "bits"), "scores")
-
-    held = scored.where(fold == 0).join(trusted, F.col("id") == F.col("trusted_id"), "left_semi")
-    means = held.groupBy("name").agg((F.sum("bits") / F.sum("n")).alias("mean")).withColumnRenamed("name", "m")
+    known_lang = F.when(F.col("lang").isNull(), F.lit(pool)).otherwise(F.coalesce("number", F.lit(-1)))
+    numbered = slim.join(F.broadcast(numbers), F.col("lang") == F.col("name"), "left").select("id", known_lang.alias("lang"), "text")
+    training = numbered.where((F.col("lang") >= 0) & (fold != 0)).join(ids, F.col("id") == F.col("trusted_id"), "left_semi")
+    probes = numbered.where((F.col("lang") >= 0) & (fold == 0)).join(ids, F.col("id") == F.col("trusted_id"), "left_semi").withColumn("lang", F.lit(pool + 1))
+    nameless = not slim.where(F.col("lang").isNull()).isEmpty()
+    if nameless:
+        training = training.where(F.col("lang") < pool).unionByName(training.withColumn("lang", F.lit(pool)))
+    model = cut(build(count(training)), "model")
+    volume, grams = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0, model.count()
+    shards = max(1, -(-grams // SHARD_GRAMS))
+    parts = max(1, volume // max(PART_BYTES, 10 * GRAM_BYTES * grams))
+    due = numbered.where(F.col("lang") >= 0)
+    known = score(due.unionByName(probes) if nameless else due, model, shards, parts, pool)
+    scored = cut(known, "scores")
+
+    own = scored.where(F.col("lang") <= pool)
+    held = scored.where((fold == 0) & (F.col("lang") != pool)).join(trusted, F.col("id") == F.col("trusted_id"), "left_semi").withColumn("lang", F.least("lang", F.lit(pool)))
+    means = held.groupBy("lang").agg(F.try_divide(F.sum("bits"), F.sum("n")).alias("mean")).withColumnRenamed("lang", "m")
     rate = (F.col("bits") + F.col("mean") * PRIOR) / (F.col("n") + PRIOR)
-    limits = held.join(means, F.col("name") == F.col("m")).groupBy("name").agg(F.percentile_approx(rate, quantile, 10000).alias("limit"), F.first("mean").alias("mean"))
-    limits = limits.withColumnRenamed("name", "m")  # a row for each language
-    joined = scored.join(F.broadcast(limits), F.col("name") == F.col("m"), "left").withColumn("rate", F.coalesce(rate, F.col("bits") / F.col("n")))
-    judged = joined.select("id", F.col("name").alias("lang"), "n", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"))
-    other = numbered.where(F.col("lang") < 0).select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    blank = other.select("id", F.lit(None).cast("string").alias("lang"), "n", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"))
+    limits = held.join(means, F.col("lang") == F.col("m")).groupBy("lang").agg(F.percentile_approx(rate, quantile, 10000).alias("limit"), F.first("mean").alias("mean"))
+    limits = limits.withColumnRenamed("lang", "m")  # a row for each language
+    joined = own.join(F.broadcast(limits), F.col("lang") == F.col("m"), "left").withColumn("rate", F.coalesce(rate, F.try_divide("bits", "n")))
+    named = joined.join(F.broadcast(numbers), F.col("lang") == F.col("number"), "left")
+    judged = named.select("id", F.col("name").alias("lang"), "n", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"))
+    unknown = slim.join(F.broadcast(numbers), F.col("lang") == F.col("name"), "left_anti").where(F.col("lang").isNotNull())
+    other = unknown.select("id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    blank = other.select("id", "lang", "n", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.unionByName(blank).select(F.col("id").alias("doc_id"), "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", keep.alias("keep"))
