@@ -50,7 +50,8 @@ def remove(batches: DataFrame, files: DataFrame, symbols: DataFrame, slices: Dat
     """A batch removed: what later batches reuse moves to them, the rest goes.
 
     The steps depend on each other's results and run in this order; each is an
-    expression over the table before it, so the tables are read once.
+    expression over the table before it.  Each of the five results reads the tables that it
+    needs, so a caller that wants several hands in written tables, not long plans.
     """
     if batches.where(_is("id", batch)).isEmpty():
         raise BatchError(f"no batch {batch}")

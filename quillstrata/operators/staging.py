@@ -96,6 +96,12 @@ def _signed(slices: DataFrame, side: str) -> DataFrame:
     )
 
 
+def _widened(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df with nulls for the signature columns that only the other has."""
+    lacking = [f for f in other.schema if f.name in SIGNATURE and f.name not in df.columns]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else df
+
+
 def decide(old: DataFrame, new: DataFrame, batch: str) -> DataFrame:
     """What becomes of every old and new slice: its key, old, batch_id, op (insert, update,
     touch, keep, or drop) and, of rows that are written, created_at and first_seen_batch.
@@ -127,8 +133,10 @@ def persist_slices(old: DataFrame, new: DataFrame, batch: str, at: Column) -> Da
     anew, with the first-seen batch of its oldest version.  Chunks the batch does not
     name stay as they are, so reading by last_seen_batch no longer shows them.
 
-    Reuse is decided on keys and digests; texts are fetched once, by the decisions.
+    Reuse is decided on keys and digests; texts are fetched once, by the decisions.  A
+    column that one side lacks (a store from before it was added) is null there.
     """
+    old, new = _widened(old, new), _widened(new, old)
     made = decide(old, new, batch).where("op != 'drop'")
     was = made.where("old").select("batch_id", *SLICE_KEY, "op")
     touch = F.col("op") == "touch"

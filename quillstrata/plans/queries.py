@@ -33,12 +33,22 @@ def _staged(spark: SparkSession, sf: str, second: bool = True) -> DataFrame:
     """The slice table after one or two batches.  A batch's slices are written once, as
     a store would hold them, since staging reads both sides several times."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    if second:
+        return _restaged(spark, sf, _first(spark, sf))
     new = settle(ingest.text_slices(docs, "doc_id", "text"), "slices")
-    one = staging.persist_slices(ingest.empty(docs, ingest.SLICES), new, FIRST, _at(FIRST))
-    if not second:
-        return one
+    return staging.persist_slices(ingest.empty(docs, ingest.SLICES), new, FIRST, _at(FIRST))
+
+
+def _first(spark: SparkSession, sf: str) -> DataFrame:
+    """The slice table after the first batch, as a store would hold it."""
+    return settle(_staged(spark, sf, second=False).drop("op"), "staged")
+
+
+def _restaged(spark: SparkSession, sf: str, one: DataFrame) -> DataFrame:
+    """The slice table after the second batch, with op."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     after = settle(ingest.text_slices(_changed(docs), "doc_id", "text"), "slices")
-    return staging.persist_slices(settle(one.drop("op"), "staged"), after, SECOND, _at(SECOND))
+    return staging.persist_slices(one, after, SECOND, _at(SECOND))
 
 
 def _symbol_rows(docs: DataFrame) -> DataFrame:
@@ -188,21 +198,22 @@ def batch_removal_state(spark: SparkSession, sf: str) -> DataFrame:
     return _removal(spark, sf).slices.groupBy("batch_id", "first_seen_batch", "last_seen_batch").agg(F.count("*").alias("slices"))
 
 
-def _payloads(spark: SparkSession, sf: str, batch: str) -> DataFrame:
-    s = settle(_staged(spark, sf, second=batch == SECOND), "staged").withColumn("symbol_id", F.col("file_id"))
+def _payloads(spark: SparkSession, sf: str, slices: DataFrame, batch: str) -> DataFrame:
+    s = slices.withColumn("symbol_id", F.col("file_id"))
     c = recompose.recompose(staging.active(s, batch), ["file_id", "chunk_id"])
     y = _symbols(spark, sf).select(F.col("file_id").alias("id"), "symbol_path", "kind")
     return vectors.payloads(c, y, _files(spark, sf))
 
 
 def chunk_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    return _payloads(spark, sf, SECOND).select("file_id", "chunk_id", "token_count", F.sha2(F.col("header_md").cast("binary"), 256).alias("header_sha"), F.sha2(F.col("body_text").cast("binary"), 256).alias("body_sha"))
+    return _payloads(spark, sf, _staged(spark, sf), SECOND).select("file_id", "chunk_id", "token_count", F.sha2(F.col("header_md").cast("binary"), 256).alias("header_sha"), F.sha2(F.col("body_text").cast("binary"), 256).alias("body_sha"))
 
 
 def _materialized(spark: SparkSession, sf: str) -> DataFrame:
     none = spark.createDataFrame([], "symbol_id string, header_md string, body_text string, token_count long")
-    old = vectors.materialize(none, _payloads(spark, sf, FIRST)).drop("op", "payloads")
-    return settle(vectors.materialize(old, _payloads(spark, sf, SECOND)), "chunks")
+    one = _first(spark, sf)
+    old = vectors.materialize(none, _payloads(spark, sf, one, FIRST)).drop("op", "payloads")
+    return settle(vectors.materialize(old, _payloads(spark, sf, _restaged(spark, sf, one), SECOND)), "chunks")
 
 
 def chunk_upsert_counts(spark: SparkSession, sf: str) -> DataFrame:

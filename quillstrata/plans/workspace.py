@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import functools
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,17 @@ class WorkspaceError(ValueError):
     """An unknown or conflicting source, batch or vector set."""
 
 
+def exclusive(method: Callable) -> Callable:
+    """Runs a method that reads and publishes tables as one under the writers' lock."""
+
+    @functools.wraps(method)
+    def run(self: Workspace, *args: object, **named: object) -> object:
+        with self.store.writing():
+            return method(self, *args, **named)
+
+    return run
+
+
 class Workspace:
     """Settings live in one JSON document beside the store; all else is in tables."""
 
@@ -73,6 +86,7 @@ class Workspace:
 
     # parsing
 
+    @exclusive
     def parse(self, source: str, scope: list[str] = [], limits: parsers.Limits = parsers.Limits(), fail_fast: bool = False) -> str:  # noqa: B006, B008
         """Scans, parses and stages a source as a new batch; gives the batch's id."""
         known = self.sources().get(source)
@@ -109,6 +123,7 @@ class Workspace:
         rows = batches.recent(self.table("batches"), limit)
         return batches.summary(rows, self.table("files"), self.table("symbols"), self.table("chunk_slices"))
 
+    @exclusive
     def remove_batch(self, batch: str, force: bool = False) -> dict[str, int]:
         y = self.table("symbols").withColumn("id", F.col("symbol_path"))
         r = batches.remove(self.table("batches"), self.table("files"), y, self.table("chunk_slices"), self.table("vdbs"), batch, force)
@@ -118,6 +133,7 @@ class Workspace:
 
     # vector sets
 
+    @exclusive
     def create_vdb(self, name: str, selector: str, provider_name: str, model: str, dim: int, metric: str = "cosine") -> None:
         """selector: source@batch or source@latest.  Again with the same values: no change."""
         source, _, chosen = selector.partition("@")
@@ -138,6 +154,7 @@ class Workspace:
             raise WorkspaceError(f"no vector set {name}")
         return row
 
+    @exclusive
     def sync(self, name: str, provider: embedding.Provider, recompute: bool = False, limit: int | None = None, dry_run: bool = False, include_unsymbolized: bool = False) -> dict[str, int]:
         """Materialises a set's chunks, embeds those without a vector, describes the set."""
         v = self._vdb(name)
@@ -180,6 +197,7 @@ class Workspace:
         c = self.table("chunks").where(F.col("vdb_id") == v["id"])
         return named.join(c, named["chunk_id"] == c["symbol_id"]).select("query_id", "symbol_id", "score", "rank", "header_md", "body_text")
 
+    @exclusive
     def reset_vdb(self, name: str, drop: bool = False) -> dict[str, int]:
         v = self._vdb(name)
         sets, chunks, vecs, counts = vectors.reset(self.table("vdbs"), self.table("chunks"), self.table("vectors"), v["id"], drop)

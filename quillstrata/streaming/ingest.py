@@ -19,8 +19,9 @@ def stage_available(spark: SparkSession, source: str, schema: str, store: Store,
     def write(df: DataFrame, number: int) -> None:
         batch = f"{name}-{number:08d}"
         at = F.timestamp_seconds(F.lit(number))
-        old = store.read("chunk_slices") if "chunk_slices" in store.tables() else ingest.empty(df, ingest.SLICES)
-        store.publish(chunk_slices=ingest.stage(old, ingest.text_slices(df, key, text), batch, at).drop("op"))
+        with store.writing():
+            old = store.read("chunk_slices") if "chunk_slices" in store.tables() else ingest.empty(df, ingest.SLICES)
+            store.publish(chunk_slices=ingest.stage(old, ingest.text_slices(df, key, text), batch, at).drop("op"))
 
     reader = spark.readStream.schema(schema)
     if max_files:

@@ -1,6 +1,8 @@
 """Staging, recomposition, batches, vectors, embedding, health, sources and plans."""
 
 import json
+import threading
+import time
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ from quillstrata.operators import batches, chunking, embedding, health, recompos
 from quillstrata.operators.embedding import Limits
 from quillstrata.plans import ingest, migrations, queries, sql
 from quillstrata.sources import documents, scan
-from quillstrata.sources.storage import Store
+from quillstrata.sources.storage import Store, reasons
 from quillstrata.streaming.ingest import event_counts, stage_available
 
 def AT(day):
@@ -281,6 +283,86 @@ def test_parse_stage_and_store(spark, tmp_path):
     free()
 
 
+def test_a_publish_that_dies_between_its_steps_changes_nothing(spark, tmp_path, monkeypatch):
+    one, two = spark.range(1), spark.range(2)
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(a=one, b=one)
+
+    class Died(BaseException):
+        pass
+
+    steps = ["_write", "_renew", "_fs"]
+    for step in steps:
+        for after in range(1, 12):
+            calls, plain = [], getattr(Store, step)
+
+            def run(self, *args, plain=plain, calls=calls, after=after, **named):
+                calls.append(args)
+                if len(calls) >= after and (step != "_write" or str(args[0]).startswith("_next")):
+                    raise Died
+                return plain(self, *args, **named)
+
+            monkeypatch.setattr(Store, step, run)
+            broken = Store(spark, str(tmp_path / "s"))
+            try:
+                broken.publish(a=two)
+                done = True
+            except Died:
+                done = False
+            monkeypatch.setattr(Store, step, plain)
+            (tmp_path / "s" / "_LOCK").unlink(missing_ok=True)
+            (tmp_path / "s" / "._LOCK.crc").unlink(missing_ok=True)
+            whole = Store(spark, str(tmp_path / "s"))
+            assert whole.tables() == ["a", "b"] and whole.read("b").count() == 1 and whole.read("a").count() in (1, 2)
+            whole.publish(a=one)
+            assert whole.read("a").count() == 1
+            if done:
+                break
+
+
+def test_the_lock_of_a_dead_writer_is_taken_over(spark, tmp_path, monkeypatch):
+    from quillstrata.sources import storage
+
+    dead, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    free = dead.lock()
+    with pytest.raises(storage.LockedError):
+        other.publish(a=spark.range(1)) if False else other.lock(0.2)
+    monkeypatch.setattr(storage, "LOCK_SECONDS", -1.0)
+    mine = other.lock(0.2)
+    monkeypatch.undo()
+    free()  # the dead writer's own is no longer there to be freed
+    with pytest.raises(storage.LockedError):
+        dead.lock(0.2)
+    mine()
+    dead.lock(0.2)()
+
+
+def test_two_writers_lose_no_update(spark, tmp_path):
+    root = str(tmp_path / "s")
+    Store(spark, root).publish(n=spark.range(0))
+
+    def add(k):
+        store = Store(spark, root)
+        with store.writing(60):
+            store.publish(n=store.read("n").union(spark.range(k, k + 1)))
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(r[0] for r in Store(spark, root).read("n").collect()) == [0, 1, 2, 3]
+
+
+def test_counts_stop_at_limits_and_times(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(small=spark.range(5), large=spark.range(50))
+    assert store.counted("small", 10, 30) == (5, "counted") and store.counted("large", 10, 30) == (None, "row-limit") and store.counted("large", 0, 0) == (50, "counted")
+    slow = F.udf(lambda x: time.sleep(20) or x, "long")
+    store.read = lambda t: spark.range(1).select(slow("id").alias("id")).where("id >= 0")
+    assert store.counted("small", 10, 0.5) == (None, "timeout")
+    del store.read
+    assert {r["reason"]: r["tables"] for r in reasons(store.info(10, 30)).collect()} == {"row-limit": 1}
+
+
 def test_documents(tmp_path):
     p = tmp_path / "m.json"
     assert documents.save_json(p, {"name": "x", "extra": 1}) and not documents.save_json(p, {"extra": 1, "name": "x"})
