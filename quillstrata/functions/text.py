@@ -64,6 +64,12 @@ def byte_offset(text: Column, chars: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), chars))
 
 
+def char_of_byte(text: Column, byte: Column) -> Column:
+    """The 0-based character that begins at a byte of the text (of one within a character:
+    the next)."""
+    return F.length(F.substring(text.cast("binary"), F.lit(1), byte).cast("string"))
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based character offset."""
     head = F.substring(text, F.lit(1), offset)

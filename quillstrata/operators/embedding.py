@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib import error, request
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,78 @@ class HashProvider:
         return out
 
 
+#: Status, headers and body of an answer to (url, headers, body, seconds).
+Transport = Callable[[str, dict[str, str], bytes, float], tuple[int, dict[str, str], bytes]]
+#: Statuses after which a request may be repeated, besides 500 and above.
+AGAIN = (408, 409, 429)
+
+
+def post(url: str, headers: dict[str, str], body: bytes, seconds: float) -> tuple[int, dict[str, str], bytes]:
+    """A POST by the standard library."""
+    try:
+        with request.urlopen(request.Request(url, body, headers, method="POST"), timeout=seconds) as answer:
+            return answer.status, dict(answer.headers), answer.read()
+    except error.HTTPError as e:
+        return e.code, dict(e.headers), e.read()
+
+
+@dataclass
+class HttpProvider:
+    """Embeddings over HTTP, in the common form: model and input in, data with index and
+    embedding out.  It is sent to the workers as it is; the key is read there, from the
+    environment variable `key_name`."""
+
+    url: str
+    key_name: str = "EMBEDDINGS_API_KEY"
+    timeout: float = 30.0
+    limits: Limits = field(default_factory=Limits)
+    transport: Transport = post
+    probed: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if self.timeout <= 0:
+            raise ValueError("the timeout must be positive")
+
+    def dim(self, model: str) -> int:
+        """Of a known model, or found by one request."""
+        if model in KNOWN_MODELS:
+            return KNOWN_MODELS[model]
+        if model not in self.probed:
+            self.probed[model] = len(with_retries(lambda: self.embed(model, ["probe"]))[0])
+        return self.probed[model]
+
+    def embed(self, model: str, texts: list[str]) -> list[list[float]]:
+        key = os.environ.get(self.key_name)
+        if not key:
+            raise ProviderError(f"{self.key_name} is not set")
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+        # an empty text is refused by such services; a blank stands for it
+        body = json.dumps({"model": model, "input": [t or " " for t in texts]}).encode()
+        try:
+            status, answered, raw = self.transport(self.url, headers, body, self.timeout)
+        except (TimeoutError, OSError) as e:
+            raise RetryableError(f"no answer: {type(e).__name__}") from e
+        named = {k.lower(): v for k, v in answered.items()}
+        what = f"status {status}" + (f", request {named['x-request-id']}" if "x-request-id" in named else "")
+        if status in AGAIN or status >= 500:
+            raise RetryableError(what)
+        if status != 200:
+            raise ProviderError(f"{what}: {_reason(raw)}")
+        try:
+            rows = sorted(json.loads(raw)["data"], key=lambda r: r["index"])
+            return [[float(x) for x in r["embedding"]] for r in rows]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ProviderError(f"{what}: the answer is not of the expected form") from e
+
+
+def _reason(raw: bytes) -> str:
+    """What an error's body says, without what else it may hold."""
+    try:
+        return str(json.loads(raw)["error"]["message"])[:200]
+    except (ValueError, KeyError, TypeError):
+        return "no reason given"
+
+
 def request_tokens(text: str) -> int:
     return 8 + 4 * len(text)
 

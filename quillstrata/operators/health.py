@@ -36,7 +36,9 @@ def worst(findings: DataFrame, names: DataFrame, module: str) -> DataFrame:
 
 def vector_sets(sets: DataFrame, chunks: DataFrame, vectors: DataFrame, latest_batch: str | None, now: Column) -> DataFrame:
     """Findings of vector sets (id, name, batch_id, dim, metric, and the sidecar's fields
-    meta_*, null where there is none)."""
+    meta_*, null where there is none).  Rules on meta_text (the sidecar as it was read),
+    meta_vdb, meta_model_id and model_id, meta_provider and provider, and index_exists hold
+    where sets have these columns; a sidecar that cannot be parsed has no other fields."""
     pair = ["chunk_id", "vdb_id"]
     c = chunks.groupBy("vdb_id").agg(F.count("*").alias("chunks"))
     v = vectors.groupBy("vdb_id").agg(F.count("*").alias("vectors"))
@@ -61,6 +63,21 @@ def vector_sets(sets: DataFrame, chunks: DataFrame, vectors: DataFrame, latest_b
         rule(meta & F.col("meta_built_at").isNull(), "missing-built-at", "degraded", "no build time"),
         rule(meta & (age > STALE_DAYS), "stale-built-at", "degraded", "built ", age, " days ago"),
     ]
+    there = lambda *names: all(n in sets.columns for n in names)
+    differ = lambda a, b: F.col(a).isNotNull() & (F.lower(F.trim(F.col(a).cast("string"))) != F.lower(F.trim(F.col(b).cast("string"))))
+    if there("meta_text"):
+        parsed = F.from_json("meta_text", "dim string, built_at string")
+        sound = F.coalesce(F.is_valid_utf8("meta_text"), F.lit(True)) & F.try_parse_json("meta_text").isNotNull()
+        parts.append(rule(F.col("meta_text").isNotNull() & ~sound, "sidecar-invalid", "error", "the description cannot be read"))
+        parts.append(rule(sound & parsed["dim"].isNotNull() & parsed["dim"].try_cast("int").isNull(), "sidecar-field", "error", "dim is invalid: ", parsed["dim"]))
+    if there("meta_vdb"):
+        parts.append(rule(differ("meta_vdb", "id"), "sidecar-mismatch", "error", "described for set ", F.col("meta_vdb")))
+    if there("meta_model_id", "model_id"):
+        parts.append(rule(differ("meta_model_id", "model_id"), "model-mismatch", "error", F.col("meta_model_id"), " described, ", F.col("model_id"), " configured"))
+    if there("meta_provider", "provider"):
+        parts.append(rule(differ("meta_provider", "provider"), "provider-mismatch", "error", F.col("meta_provider"), " described, ", F.col("provider"), " configured"))
+    if there("index_exists"):
+        parts.append(rule(~F.col("index_exists") & (F.col("vectors") > 0), "missing-index", "degraded", "vectors without an index"))
     if latest_batch is not None:
         parts.append(rule(F.col("batch_id") != latest_batch, "stale-batch", "degraded", "on ", F.col("batch_id"), ", latest is ", F.lit(latest_batch)))
     return union(parts)

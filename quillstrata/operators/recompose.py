@@ -62,6 +62,12 @@ def symbol_candidates(chunks: DataFrame, version: str) -> DataFrame:
     )
 
 
+def ordered_distinct(df: DataFrame, group: list[str], order: str, value: str, name: str = "values") -> DataFrame:
+    """The different values of each group in the order of their first appearance."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*group).agg(F.array_distinct(F.transform(rows, lambda r: r["v"])).alias(name))
+
+
 def integrity(slices: DataFrame, key: list[str]) -> DataFrame:
     """Chunks whose parts do not fit: uneven totals, or indexes that are not 0..n-1."""
     g = slices.groupBy(*key).agg(

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = {"cosine": "ip", "ip": "ip", "inner_product": "ip", "l2": "l2", "euclidean": "l2"}
-#: Queries up to which they are broadcast to the vectors (512 MB of 64 doubles).
-QUERY_BYTES = 512 << 20
+#: Bytes of queries that go to the vectors at once (65,536 of 64 doubles), and of the
+#: scores that a task holds at once.
+QUERY_BYTES, MATRIX_BYTES = 32 << 20, 128 << 20
 
 
 class VectorError(ValueError):
@@ -70,6 +71,11 @@ def plan(records: DataFrame, vectors: DataFrame, key: str, order: str, recompute
     return both.select("total", n.cast("long").alias("embed"), (F.col("total") - n).cast("long").alias("skipped"))
 
 
+def totals(counters: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of sets and the sum of each counter over them."""
+    return counters.agg(F.count("*").alias("sets"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns])
+
+
 def limited(records: DataFrame, vectors: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     return targets(records, vectors, key).orderBy(order).limit(limit)
 
@@ -133,22 +139,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     best = None
     for p in range(parts):
         own = held if parts == 1 else held.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == p)
-        rows = own.collect()
-        found = _partial(vectors, [r[0] for r in rows], [r[1] for r in rows], k, kind, key, query_key, column)
+        block_rows = own.select(F.col(query_key).cast("long"), F.col(column).cast("array<double>")).toArrow()  # about QUERY_BYTES
+        if not block_rows.num_rows:
+            continue
+        flat = block_rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        found = _partial(vectors, block_rows.column(0).to_numpy(), flat.reshape(block_rows.num_rows, -1), k, kind, key, query_key, column)
         best = found if best is None else best.unionByName(found)
     order = Window.partitionBy(query_key).orderBy(F.desc("score") if kind == "ip" else F.asc("score"), key)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _partial(vectors: DataFrame, ids: list, rows: list, k: int, kind: str, key: str, query_key: str, column: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows, np.float64)))
+def _partial(vectors: DataFrame, ids: np.ndarray, rows: np.ndarray, k: int, kind: str, key: str, query_key: str, column: str) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((ids.astype(np.int64), rows.astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
         keep_s, keep_i = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(16, MATRIX_BYTES // (8 * max(1, len(qid))))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             i = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             # products are summed in the order of the dimensions, as a fold over them would

@@ -56,6 +56,12 @@ def parsed_symbols(parsed: DataFrame) -> DataFrame:
     )
 
 
+def partition_targets(targets: DataFrame, enabled: str = "enabled") -> tuple[DataFrame, DataFrame]:
+    """Targets that are enabled, and those that are not (an unknown state counts as not)."""
+    on = F.coalesce(F.col(enabled), F.lit(False))
+    return targets.where(on), targets.where(~on)
+
+
 def stage(slices: DataFrame, new: DataFrame, batch: str, at: Column) -> DataFrame:
     return staging.persist_slices(slices, new, batch, at)
 

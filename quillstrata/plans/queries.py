@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions import ids
 from quillstrata.functions import text as T
-from quillstrata.operators import batches, chunking, embedding, health, recompose, staging, vectors
+from quillstrata.operators import batches, chunking, embedding, health, recompose, relations, staging, vectors
 from quillstrata.operators.parsers import base as parsers
 from quillstrata.plans import ingest, migrations, search
-from quillstrata.sources.storage import settle
+from quillstrata.sources.storage import reasons, settle
 
 FIRST, SECOND = "b1", "b2"
 VERSION = "1.0.0"
@@ -383,6 +383,145 @@ def retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return search.retrieve(d.select("chunk_key", F.length("text").alias("chars")), v, q, 5).select("query_id", "chunk_key", "rank", F.round("score", 5).alias("score"))
 
 
+def _files_of(spark: SparkSession, sf: str, suffix: str, *parts: str) -> DataFrame:
+    """A small source file for every document, written around its id, source and language
+    ({id}, {source}, {lang} in the parts)."""
+    fields = {"{id}": F.col("doc_id").cast("string"), "{source}": F.coalesce("source", F.lit("")), "{lang}": F.coalesce("lang", F.lit(""))}
+    body = F.concat(*[fields.get(p, F.lit(p)) for p in parts])
+    return read(spark, sf, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), body.alias("body"))
+
+
+def _parsed(files: DataFrame, handler: str) -> DataFrame:
+    return parsers.parse(files, handler, "doc_id", "path", "body")
+
+
+def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    f = _files_of(spark, sf, ".md", "---\nid: ", "{id}", "\n---\nintro\n# ", "{source}", "\nbody ", "{lang}", "\n## Part\n```py\nx = ", "{id}", "\n```\n")
+    return parsers.chunks(_parsed(f, "markdown")).select(F.col("key").cast("long").alias("doc_id"), "chunk_id", "delegate", "delegate_parent", "start_line", "end_line")
+
+
+def markdown_headings(spark: SparkSession, sf: str) -> DataFrame:
+    f = _files_of(spark, sf, ".md", "# ", "{source}", "\n## ", "{lang}", "\n### Deep\n# Last\n")
+    return parsers.symbols(_parsed(f, "markdown")).select(F.col("key").cast("long").alias("doc_id"), "symbol_id", "name", "parent", F.get_json_object("metadata_json", "$.level").cast("int").alias("level"))
+
+
+def python_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    f = _files_of(spark, sf, ".py", "class C", "{id}", ":\n    def m(self):\n        return ", "{id}", "\n")
+    return parsers.symbols(_parsed(f, "python")).select(F.col("key").cast("long").alias("doc_id"), "symbol_id", "kind", "parent", "start_byte", "end_byte")
+
+
+def javascript_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    f = _files_of(spark, sf, ".js", "export class K", "{id}", " {\n  run() { return ", "{id}", " }\n}\nexport const n = ", "{id}", ";\n")
+    return parsers.symbols(_parsed(f, "javascript")).select(F.col("key").cast("long").alias("doc_id"), "symbol_id", "name", "kind", "start_byte", "end_byte")
+
+
+def css_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    f = _files_of(spark, sf, ".css", ".a", "{id}", ", b { top: 0 }\n@media print { p { left: ", "{id}", "px } }\n")
+    return parsers.symbols(_parsed(f, "css")).select(F.col("key").cast("long").alias("doc_id"), "name", "kind", "start_byte", "end_byte")
+
+
+def html_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Structural elements of every page by tag, as their start tags say."""
+    s = parsers.symbols(_pages(spark, sf)).where("kind = 'element'")
+    return s.groupBy(F.col("key").cast("long").alias("page_id"), F.col("name").alias("tag")).agg(F.count("*").alias("elements"))
+
+
+def packed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A definition of nine lines of 20 tokens each, cut into runs of lines of at most 50."""
+    f = _files_of(spark, sf, ".py", "def f():\n", *(["    x = '" + "y" * 66 + "'\n"] * 9))
+    p = parsers.parse(f, "python", "doc_id", "path", "body", parsers.Limits(50))
+    return parsers.chunks(p).groupBy(F.col("key").cast("long").alias("doc_id")).agg(F.count("*").alias("parts"), F.max("token_count").alias("most"), F.sum(F.length("content_text")).alias("chars"))
+
+
+def enabled_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of the documents as targets, every other one (by length of its name) enabled."""
+    d = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("files"))
+    on, off = ingest.partition_targets(d.withColumn("enabled", F.length("source") % 2 == 0))
+    return on.select("source", "files", F.lit("enabled").alias("state")).unionByName(off.select("source", "files", F.lit("disabled").alias("state")))
+
+
+def sync_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of the vector set of every language, and their sums."""
+    c, v = _chunk_vectors(spark, sf)
+    per = [df.groupBy(F.coalesce("vdb_id", F.lit("")).alias("vdb_id")).agg(F.count("*").alias(n)) for df, n in ((c, "chunks"), (v, "vectors"), (vectors.missing(c, v, ["chunk_id", "vdb_id"]), "embedded"))]
+    counters = per[0].join(per[1], "vdb_id", "full").join(per[2], "vdb_id", "full")
+    return vectors.totals(counters, ["chunks", "vectors", "embedded"])
+
+
+def skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return reasons(bounded_counts(spark, sf))
+
+
+def ordered_roles(spark: SparkSession, sf: str) -> DataFrame:
+    r = recompose.ordered_distinct(read(spark, sf, "conversations"), ["conv_id"], "turn", "role", "roles")
+    return r.select("conv_id", F.array_join("roles", ",").alias("roles"))
+
+
+def char_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """The byte at which the middle character of every text begins, and the way back."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    d = read(spark, sf, "documents").where(F.length("text") > 0).withColumn("byte", T.byte_offset(F.col("text"), middle))
+    return d.select("doc_id", "byte", T.char_of_byte(F.col("text"), F.col("byte")).alias("char"))
+
+
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """A region deleted: its nations and their suppliers go, customers lose their nation."""
+    tables = {t: read(spark, sf, t) for t in ("region", "nation", "customer", "supplier")}
+    refs = [relations.Reference("nation", "n_regionkey", "region", "r_regionkey"), relations.Reference("supplier", "s_nationkey", "nation", "n_nationkey"), relations.Reference("customer", "c_nationkey", "nation", "n_nationkey", "set_null")]
+    left = relations.delete(tables, refs, "region", "r_regionkey", tables["region"].where("r_regionkey = 1"))
+    key = {"region": "r_regionkey", "nation": "n_regionkey", "customer": "c_nationkey", "supplier": "s_nationkey"}
+    return health.union([df.agg(F.count("*").alias("rows"), F.count_if(F.col(key[t]).isNull()).alias("nulls")).select(F.lit(t).alias("name"), "rows", "nulls") for t, df in left.items()])
+
+
+def _at_day(day: str):
+    return F.lit(day).cast("timestamp")
+
+
+def source_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as sources, in every state."""
+    n, k = read(spark, sf, "nation"), F.col("n_nationkey")
+    rows = n.select(
+        F.col("n_name").alias("name"), (k % 2 == 0).alias("enabled"), (k % 3 != 0).alias("exists"), F.when(k % 4 != 0, F.col("n_name")).alias("target"), (k % 5 != 0).alias("readable"),
+        F.when(k % 7 != 0, _at_day("2024-01-01")).alias("refreshed_at"),
+    )
+    return health.worst(health.sources(rows, _at_day("2024-01-02")), rows, "source").select("module", "name", "status", F.array_join("codes", ",").alias("codes"))
+
+
+def database_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as schema states."""
+    n, k = read(spark, sf, "nation"), F.col("n_nationkey")
+    rows = n.select(
+        F.col("n_name").alias("name"), F.lit(3).alias("expected"), F.when(k % 5 != 0, F.col("n_regionkey")).alias("applied"), F.lit("x").alias("ledger"), F.when(k % 2 == 0, "x").otherwise("y").alias("recorded"),
+        F.timestamp_seconds(F.lit(1704067200) + k * 86400).alias("vacuumed_at"),
+    )
+    return health.worst(health.databases(rows, _at_day("2024-01-20")), rows, "db").select("module", "name", "status", F.array_join("codes", ",").alias("codes"))
+
+
+def parser_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as run records."""
+    n, k = read(spark, sf, "nation"), F.col("n_nationkey")
+    rows = n.select(F.col("n_name").alias("name"), F.when(k % 3 != 0, "b").alias("batch_id"), F.when(k % 4 == 0, "error").otherwise("ok").alias("status"), (k * 2).alias("lock_seconds"), (k % 12).alias("lock_events"))
+    return health.worst(health.parser_batches(rows), rows, "parser").select("module", "name", "status", F.array_join("codes", ",").alias("codes"))
+
+
+def sidecar_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as vector sets of their customers, with descriptions of every kind."""
+    n, k = read(spark, sf, "nation"), F.col("n_nationkey")
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("vdb_id"))
+    have = c.groupBy("vdb_id").agg(F.count("*").alias("meta_vectors"))
+    sets = n.join(have, k == F.col("vdb_id"), "left").select(
+        k.alias("id"), F.col("n_name").alias("name"), F.lit(SECOND).alias("batch_id"), F.lit(8).alias("dim"), F.lit("m").alias("model"), F.lit("p").alias("provider"), F.lit("p:m").alias("model_id"),
+        F.when(k % 6 == 0, "{broken").when(k % 6 == 1, '{"dim": "eight"}').otherwise('{"dim": 8}').alias("meta_text"), F.when(k % 6 > 1, 8).alias("meta_dim"), F.lit("m").alias("meta_model"), F.coalesce("meta_vectors", F.lit(0)).alias("meta_vectors"),
+        _at_day("2024-02-20").alias("meta_built_at"), F.when(k % 6 == 2, -1).otherwise(k).alias("meta_vdb"), F.when(k % 6 == 3, "p:other").otherwise("p:m").alias("meta_model_id"), F.when(k % 6 == 4, "q").otherwise(" P ").alias("meta_provider"), (k % 6 != 5).alias("index_exists"),
+    )
+    return health.worst(health.vector_sets(sets, c, c, SECOND, _at_day("2024-03-01")), sets, "vdb").select("module", "name", "status", F.array_join("codes", ",").alias("codes"))
+
+
+def strict_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second batch wrote itself."""
+    return staging.active(_staged(spark, sf), SECOND, strict=True).select(*SLICE_OUT)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,5 +529,7 @@ QUERIES = {
         stage_outcomes, stage_symbols, active_slices, slice_history, recomposed_conversations, slice_integrity, batch_summary, latest_batch, batch_removal_counts, batch_removal_state, chunk_payloads, chunk_upsert_counts,
         sync_plan, sync_limit, vector_normalized, vector_remove, vector_reconstruct, vector_dim_check, missing_vectors, orphan_vectors, vdb_health, vdb_reset_counts, embed_request_batches, embed_hash_provider,
         bounded_counts, run_summary_text, uuid7_timestamps, selectors, age_in_days, ledger, pending_migrations, health_merge, keyword_search, retrieve,
+        markdown_chunks, markdown_headings, python_symbols, javascript_symbols, css_symbols, html_elements, packed_lines, enabled_targets, sync_totals, skip_reasons, ordered_roles, char_offsets, cascade_delete, source_health,
+        database_health, parser_health, sidecar_health, strict_slices,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_ip": _knn("ip"), "knn_l2": _knn("l2")}

@@ -86,6 +86,28 @@ def knn(score: str, order: str) -> str:
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 
 
+STRUCTURAL = "body head header footer section article aside main nav div p ul ol li table thead tbody tr td form fieldset legend figure figcaption details summary script style".split()
+
+
+def size(x: str) -> str:
+    return f"octet_length(encode({x}))"
+
+
+#: Pieces of the generated source files, as SQL.
+ID, SRC, LANG, NL = "doc_id::VARCHAR", "coalesce(source, '')", "coalesce(lang, '')", "chr(10)"
+FILES = "(SELECT * FROM documents WHERE doc_id IS NOT NULL)"
+CODES = "string_agg(code, ',' ORDER BY code) AS codes"
+LEVEL = "['ok', 'unknown', 'degraded', 'error'][max(level) + 1] AS status"
+
+
+def folded(module: str, names: str, rules: list[tuple[str, str, int]]) -> str:
+    """The worst level and the codes of every row of names (n_name, n_nationkey AS k)."""
+    found = " UNION ALL ".join(f"SELECT n_name, '{code}' AS code, {level} AS level FROM n WHERE {when}" for code, when, level in rules)
+    return f"""WITH n AS ({names}), f AS ({found}), g AS (SELECT n_name, {LEVEL}, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM f GROUP BY n_name)
+SELECT '{module}' AS module, n.n_name AS name, coalesce(status, 'ok') AS status, coalesce(codes, '') AS codes FROM n LEFT JOIN g ON g.n_name = n.n_name"""
+
+
+NATIONS = "SELECT n_name, n_regionkey, n_nationkey AS k FROM nation"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ORACLE: dict[str, str] = {
@@ -154,4 +176,40 @@ SELECT event_id, ms, array_to_string([substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ',
     "pending_migrations": "SELECT n_name AS id, n_nationkey::BIGINT AS position FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) OR n_regionkey = 1",
     "health_merge": "SELECT event_type AS module, CASE WHEN event_type = 'click' THEN -1 ELSE count(*) END AS n FROM events GROUP BY event_type",
     "keyword_search": r"WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}_]+')) AS term FROM documents) SELECT doc_id, count(*) AS n FROM t WHERE term IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 2",
+    "markdown_chunks": f"""WITH a AS (SELECT doc_id, {size(f"'---' || {NL} || 'id: ' || {ID} || {NL} || '---' || {NL}")} AS b0, {size(f"'intro' || {NL} || '# ' || {SRC} || {NL} || 'body ' || {LANG} || {NL}")} AS n1,
+  {size(f"'## Part' || {NL} || '```py' || {NL}")} AS n2, {size(f"'x = ' || {ID} || {NL}")} AS n3 FROM {FILES}),
+p AS (SELECT doc_id, b0, b0 + n1 AS s2, b0 + n1 + n2 AS cs, b0 + n1 + n2 + n3 AS ce, b0 + n1 + n2 + n3 + 4 AS e FROM a)
+SELECT doc_id, 'markdown:front-matter' AS chunk_id, NULL AS delegate, NULL AS delegate_parent, 1 AS start_line, 3 AS end_line FROM p
+UNION ALL SELECT doc_id, 'markdown:section:' || b0 || ':' || s2, NULL, NULL, 4, 6 FROM p
+UNION ALL SELECT doc_id, 'markdown:section:' || s2 || ':' || e, NULL, NULL, 7, 10 FROM p
+UNION ALL SELECT doc_id, 'py:delegate:markdown:fenced_code:' || cs || ':' || ce || ':0', 'py', 'markdown:section:' || s2 || ':' || e, 9, 9 FROM p""",
+    "markdown_headings": f"""WITH a AS (SELECT doc_id, {SRC} AS s, {LANG} AS l, {size(f"'# ' || {SRC} || {NL}")} AS n1, {size(f"'## ' || {LANG} || {NL}")} AS n2 FROM {FILES}), p AS (SELECT *, 'markdown:heading:' AS h, n1 + n2 AS s3, n1 + n2 + 9 AS s4 FROM a)
+SELECT doc_id, h || 0 AS symbol_id, s AS name, NULL AS parent, 1 AS level FROM p UNION ALL SELECT doc_id, h || n1, l, h || 0, 2 FROM p UNION ALL SELECT doc_id, h || s3, 'Deep', h || n1, 3 FROM p UNION ALL SELECT doc_id, h || s4, 'Last', NULL, 1 FROM p""",
+    "python_symbols": f"""WITH p AS (SELECT doc_id, 'python:d' || {ID} || '.py::d' || {ID} AS r, {ID} AS i, {size(f"'class C' || {ID} || ':' || {NL}")}::BIGINT AS s, {size(f"'class C' || {ID} || ':' || {NL} || '    def m(self):' || {NL} || '        return ' || {ID}")}::BIGINT AS e FROM {FILES})
+SELECT doc_id, r AS symbol_id, 'module' AS kind, NULL AS parent, 0::BIGINT AS start_byte, e + 1 AS end_byte FROM p UNION ALL SELECT doc_id, r || '.C' || i, 'class', r, 0, e FROM p UNION ALL SELECT doc_id, r || '.C' || i || '.m', 'function', r || '.C' || i, s, e FROM p""",
+    "javascript_symbols": f"""WITH p AS (SELECT doc_id, {ID} AS i, 'javascript:d' || {ID} || '.js::d' || {ID} AS r, {size(f"'export class K' || {ID} || ' {{' || {NL} || '  '")}::BIGINT AS s, {size(f"'run() {{ return ' || {ID} || ' }}'")}::BIGINT AS m, {size(f"'export const n = ' || {ID} || ';'")}::BIGINT AS c FROM {FILES})
+SELECT doc_id, r AS symbol_id, 'd' || i AS name, 'module' AS kind, 0::BIGINT AS start_byte, s + m + 3 + c + 1 AS end_byte FROM p UNION ALL SELECT doc_id, r || '.K' || i || ':0:' || (s + m + 2), 'K' || i, 'class', 0, s + m + 2 FROM p
+UNION ALL SELECT doc_id, r || '.K' || i || '.run:' || s || ':' || (s + m), 'K' || i || '.run', 'method', s, s + m FROM p UNION ALL SELECT doc_id, r || '.n:' || (s + m + 3) || ':' || (s + m + 3 + c), 'n', 'const', s + m + 3, s + m + 3 + c FROM p""",
+    "css_symbols": f"""WITH p AS (SELECT doc_id, {ID} AS i, {size(f"'.a' || {ID} || ', b {{ top: 0 }}'")}::BIGINT AS a, {size(f"'p {{ left: ' || {ID} || 'px }}'")}::BIGINT AS b FROM {FILES})
+SELECT doc_id, 'd' || i || '.css' AS name, 'stylesheet' AS kind, 0::BIGINT AS start_byte, a + 1 + 15 + b + 3 AS end_byte FROM p UNION ALL SELECT doc_id, '.a' || i || ', b', 'rule', 0, a FROM p
+UNION ALL SELECT doc_id, '@media print', 'at_rule', a + 1, a + 1 + 15 + b + 2 FROM p UNION ALL SELECT doc_id, 'p', 'rule', a + 16, a + 16 + b FROM p""",
+    "html_elements": rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)(<(script|style)[^>]*>).*?</(script|style)>', '\1', 'g'), '<([A-Za-z][A-Za-z0-9]*)[\s/>]', 1)) AS tag FROM pages)
+SELECT page_id, lower(tag) AS tag, count(*) AS elements FROM t WHERE lower(tag) IN ({", ".join(f"'{t}'" for t in STRUCTURAL)}) GROUP BY ALL""",
+    "packed_lines": f"SELECT doc_id, 5::BIGINT AS parts, ceil((9 + 2 * 77) / 4.0)::INT AS most, (9 + 9 * 77 - 1)::BIGINT AS chars FROM {FILES}",
+    "enabled_targets": "SELECT source, count(*) AS files, CASE WHEN length(source) % 2 = 0 THEN 'enabled' ELSE 'disabled' END AS state FROM documents GROUP BY source",
+    "sync_totals": f"{ALIGN} SELECT (SELECT count(DISTINCT coalesce(vdb_id, '')) FROM (SELECT vdb_id FROM c UNION ALL SELECT vdb_id FROM v)) AS sets, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM v) AS vectors, (SELECT count(*) FROM lost) AS embedded",
+    "skip_reasons": "SELECT 'row-limit' AS reason, count(*) AS tables FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in TABLES) + ") WHERE n > 5000 HAVING count(*) > 0",
+    "ordered_roles": "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id",
+    "char_offsets": f"SELECT doc_id, {size('left(text, length(text) // 2)')}::INT AS byte, (length(text) // 2)::INT AS char FROM documents WHERE length(text) > 0",
+    "cascade_delete": """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+SELECT 'region' AS name, count(*) AS rows, 0::BIGINT AS nulls FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'nation', count(*), 0 FROM nation WHERE n_regionkey <> 1
+UNION ALL SELECT 'customer', count(*), count(*) FILTER (c_nationkey IN (SELECT n_nationkey FROM n)) FROM customer UNION ALL SELECT 'supplier', count(*), 0 FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM n)""",
+    "source_health": folded("source", NATIONS, [("disabled", "k % 2 <> 0", 1), ("missing-directory", "k % 3 = 0", 3), ("no-target", "k % 4 = 0", 2), ("unreadable-target", "k % 4 <> 0 AND k % 5 = 0", 3), ("never-refreshed", "k % 7 = 0", 1)]),
+    "database_health": folded("db", NATIONS, [("missing", "k % 5 = 0", 3), ("pending", "k % 5 <> 0 AND n_regionkey < 3", 2), ("ledger-drift", "k % 2 <> 0", 3), ("vacuum-stale", "19 - k > 7", 2)]),
+    "parser_health": folded("parser", NATIONS, [("never-run", "k % 3 = 0", 1), ("run-failed", "k % 4 = 0", 3), ("lock-contention", "k * 2 >= 30 OR k % 12 >= 10", 3), ("lock-contention", "NOT (k * 2 >= 30 OR k % 12 >= 10) AND (k * 2 >= 5 OR k % 12 >= 3)", 2)]),
+    "sidecar_health": folded(
+        "vdb", "SELECT n_name, n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS v FROM nation",
+        [("not-synced", "v = 0", 1), ("missing-sidecar", "k % 6 <= 1 AND v > 0", 3), ("sidecar-invalid", "k % 6 = 0", 3), ("sidecar-field", "k % 6 = 1", 3), ("sidecar-mismatch", "k % 6 = 2", 3), ("model-mismatch", "k % 6 = 3", 3), ("provider-mismatch", "k % 6 = 4", 3), ("missing-index", "k % 6 = 5 AND v > 0", 2)],
+    ),
+    "strict_slices": f"{STAGED} SELECT {SLICES} FROM staged WHERE batch_id = 'b2'",
 }
