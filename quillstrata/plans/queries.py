@@ -517,6 +517,13 @@ def sidecar_health(spark: SparkSession, sf: str) -> DataFrame:
     return health.worst(health.vector_sets(sets, c, c, SECOND, _at_day("2024-03-01")), sets, "vdb").select("module", "name", "status", F.array_join("codes", ",").alias("codes"))
 
 
+def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Three paragraphs for every document, the second behind a line of blanks."""
+    f = _files_of(spark, sf, ".txt", "s", "{source}", "\n\nl", "{lang}", "\n \t\ni", "{id}")
+    c = chunking.with_hashes(chunking.text_chunks(f, "doc_id", "body"))
+    return c.select("doc_id", "part_index", "chunk_id", "strategy", "char_start", "start_line", "end_line", "content_hash")
+
+
 def strict_slices(spark: SparkSession, sf: str) -> DataFrame:
     """What the second batch wrote itself."""
     return staging.active(_staged(spark, sf), SECOND, strict=True).select(*SLICE_OUT)
@@ -530,6 +537,6 @@ QUERIES = {
         sync_plan, sync_limit, vector_normalized, vector_remove, vector_reconstruct, vector_dim_check, missing_vectors, orphan_vectors, vdb_health, vdb_reset_counts, embed_request_batches, embed_hash_provider,
         bounded_counts, run_summary_text, uuid7_timestamps, selectors, age_in_days, ledger, pending_migrations, health_merge, keyword_search, retrieve,
         markdown_chunks, markdown_headings, python_symbols, javascript_symbols, css_symbols, html_elements, packed_lines, enabled_targets, sync_totals, skip_reasons, ordered_roles, char_offsets, cascade_delete, source_health,
-        database_health, parser_health, sidecar_health, strict_slices,
+        database_health, parser_health, sidecar_health, strict_slices, paragraph_chunks,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_ip": _knn("ip"), "knn_l2": _knn("l2")}

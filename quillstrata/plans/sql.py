@@ -211,5 +211,9 @@ UNION ALL SELECT 'customer', count(*), count(*) FILTER (c_nationkey IN (SELECT n
         "vdb", "SELECT n_name, n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS v FROM nation",
         [("not-synced", "v = 0", 1), ("missing-sidecar", "k % 6 <= 1 AND v > 0", 3), ("sidecar-invalid", "k % 6 = 0", 3), ("sidecar-field", "k % 6 = 1", 3), ("sidecar-mismatch", "k % 6 = 2", 3), ("model-mismatch", "k % 6 = 3", 3), ("provider-mismatch", "k % 6 = 4", 3), ("missing-index", "k % 6 = 5 AND v > 0", 2)],
     ),
+    "paragraph_chunks": f"""WITH p AS (SELECT doc_id, 's' || {SRC} || {NL} || {NL} AS a, 'l' || {LANG} || {NL} || ' ' || chr(9) || {NL} AS b, 'i' || {ID} AS c FROM {FILES}),
+q AS (SELECT doc_id, 0 AS part_index, a AS body, 0 AS s, 0 AS char_start, 1 AS start_line FROM p UNION ALL SELECT doc_id, 1, b, {size('a')}, length(a), 3 FROM p UNION ALL SELECT doc_id, 2, c, {size('a || b')}, length(a || b), 5 FROM p),
+r AS (SELECT *, 'text:' || s || ':' || (s + {size('body')}) AS chunk_id FROM q)
+SELECT doc_id, part_index, chunk_id, 'paragraph' AS strategy, char_start::INT AS char_start, start_line::INT AS start_line, (start_line + CASE WHEN part_index < 2 THEN 1 ELSE 0 END)::INT AS end_line, {HASH} AS content_hash FROM r""",
     "strict_slices": f"{STAGED} SELECT {SLICES} FROM staged WHERE batch_id = 'b2'",
 }

@@ -21,7 +21,9 @@ def AT(day):
     return F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
 
 
-FAST = ["text_chunks", "text_chunk_hashes", "flagship", "exact_duplicates", "html_raw_blocks", "delegate_tree", "handler_resolution", "stage_second_batch", "recomposed_conversations", "slice_integrity", "batch_removal_counts", "chunk_payloads", "sync_plan", "vector_normalized", "knn_cosine", "knn_l2", "vdb_health", "ledger", "pending_migrations", "keyword_search", "bounded_counts"]
+FAST = ["text_chunks", "text_chunk_hashes", "flagship", "exact_duplicates", "html_raw_blocks", "delegate_tree", "handler_resolution", "stage_second_batch", "recomposed_conversations", "slice_integrity", "batch_removal_counts", "chunk_payloads", "sync_plan", "vector_normalized", "knn_cosine", "knn_l2", "vdb_health", "ledger", "pending_migrations", "keyword_search", "bounded_counts",
+        "markdown_chunks", "markdown_headings", "python_symbols", "javascript_symbols", "css_symbols", "html_elements", "packed_lines", "cascade_delete", "sidecar_health", "source_health", "database_health", "parser_health",
+        "ordered_roles", "char_offsets", "sync_totals", "skip_reasons", "enabled_targets", "paragraph_chunks"]
 
 
 @pytest.fixture(scope="module")
