@@ -52,9 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents.  Stages that run Python ask for small Arrow batches; the
+    session's own number is back in force at the end, when the last stage, which is native,
+    is still to be computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, name)
+    try:
+        for i, (stage, apply) in enumerate(STAGES):
+            docs = apply(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = cut(docs, stage)
+    finally:
+        spark.conf.set(name, before)
     return docs
