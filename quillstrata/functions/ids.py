@@ -35,6 +35,12 @@ def short_id(col: Column) -> Column:
     return F.lpad(F.translate(digits, plain, CROCKFORD[10:]), 12, "0")
 
 
+def short_id_of(value: uuid.UUID | str) -> str:
+    """short_id() of one UUID."""
+    bits = uuid.UUID(str(value)).int >> 68
+    return "".join(CROCKFORD[bits >> 5 * i & 31] for i in reversed(range(12)))
+
+
 def parse_time(col: Column) -> Column:
     """ISO 8601; without a zone it is UTC."""
     return F.try_to_timestamp(col)

@@ -42,8 +42,11 @@ def normalize_lines(text: Column) -> Column:
 
 
 def normalize_sql(text: Column) -> Column:
+    """Line ends as \\n, lines without trailing white space, none at either end but one
+    line end after the last line; the empty text stays empty."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    return strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n"))
+    whole = strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n"))
+    return F.when(whole == "", whole).otherwise(F.concat(whole, F.lit("\n")))
 
 
 def sql_checksum(text: Column) -> Column:

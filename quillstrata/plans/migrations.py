@@ -1,13 +1,26 @@
-"""Schema migrations of a store: an ordered list, a ledger, and plans up and down."""
+"""Schema migrations of a store: an ordered list, a ledger, and plans up and down.
+
+A catalogue is made in code, or read from a folder of SQL scripts `<id>.up.sql` and
+`<id>.down.sql`, whose first line is `-- uuid7: <uuid>` and whose id is the short form of
+that uuid.  Scripts run over the tables as temporary views; a view that a script makes or
+replaces is the table after it.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrata.functions.ids import short_id_of
+from quillstrata.functions.text import normalize_sql, sql_checksum
+
+VIEW = re.compile(r"CREATE\s+OR\s+REPLACE\s+TEMP(?:ORARY)?\s+VIEW\s+(\w+)\s+AS\s+(.*)", re.I | re.S)
 LEDGER = "position int, id string, checksum string"
 
 
@@ -23,6 +36,56 @@ class Migration:
     down: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None
 
 
+def run_script(spark: SparkSession, script: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after the statements of a script (one that ends a line with `;` ends there)."""
+    before = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        for statement in re.split(r";[ \t]*(?:\n|\Z)", script):
+            bare = re.sub(r"^(?:\s|--[^\n]*(?:\n|\Z))+", "", statement)
+            made = VIEW.match(bare)
+            if made:  # by its plan, so that a table may be made of itself
+                spark.sql(made[2]).createOrReplaceTempView(made[1])
+            elif bare:
+                spark.sql(bare)
+        now = {t.name for t in spark.catalog.listTables() if t.isTemporary} - before | set(tables)
+        return {name: spark.table(name) for name in sorted(now) if spark.catalog.tableExists(name)}
+    finally:
+        for t in {t.name for t in spark.catalog.listTables() if t.isTemporary} - before | set(tables):
+            spark.catalog.dropTempView(t)
+
+
+def read_scripts(spark: SparkSession, folder: str) -> list[Migration]:
+    """The catalogue of a folder, in order.  A script without its header, with another id
+    than its uuid's, or whose pair names another uuid, is an error."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.sql")
+    rows = found.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value", normalize_sql(F.col("value")).alias("sql"), sql_checksum(F.col("value")).alias("sum")).collect()  # as many as there are scripts
+    scripts: dict[str, dict[str, tuple]] = {"up": {}, "down": {}}
+    for r in rows:
+        named = re.fullmatch(r"(\w+)\.(up|down)\.sql", r["file"])
+        if named is None:
+            raise MigrationError(f"{r['file']} is neither .up.sql nor .down.sql")
+        header = re.match(r"--\s*uuid7:\s*([0-9a-fA-F-]{36})\s*$", r["value"].split("\n", 1)[0].strip())
+        if header is None:
+            raise MigrationError(f"{r['file']} does not begin with `-- uuid7: <uuid>`")
+        own = uuid.UUID(header[1])
+        if short_id_of(own) != named[1]:
+            raise MigrationError(f"{r['file']} is of {short_id_of(own)}")
+        scripts[named[2]][named[1]] = (own, r["sql"], r["sum"])
+    if not scripts["up"]:
+        raise MigrationError("no .up.sql scripts")
+    if lone := set(scripts["down"]) - set(scripts["up"]):
+        raise MigrationError(f"no way up for {', '.join(sorted(lone))}")
+    out = []
+    for i, (own, sql, total) in sorted(scripts["up"].items()):
+        down = scripts["down"].get(i)
+        if down and down[0] != own:
+            raise MigrationError(f"the scripts of {i} name different uuids")
+        out.append(Migration(i, total, partial(run_script, spark, sql), partial(run_script, spark, down[1]) if down else None))
+    return out
+
+
 def validate(catalogue: list[Migration]) -> None:
     ids = [m.id for m in catalogue]
     if ids != sorted(set(ids)):

@@ -43,6 +43,32 @@ def merge(base: dict[str, Any], *layers: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def from_environment(prefix: str, environ: dict[str, str] | None = None) -> dict[str, Any]:
+    """Settings of variables PREFIX_TABLE__KEY=value; values are JSON where they parse."""
+    out: dict[str, Any] = {}
+    for name, text in sorted((os.environ if environ is None else environ).items()):
+        if not name.startswith(prefix + "_"):
+            continue
+        *path, last = name[len(prefix) + 1 :].lower().split("__")
+        at = out
+        for p in path:
+            at = at.setdefault(p, {})
+            if not isinstance(at, dict):
+                raise DocumentError(f"{name}: {p} is a value already")
+        try:
+            at[last] = json.loads(text)
+        except ValueError:
+            at[last] = text
+    return out
+
+
+def layered(defaults: dict[str, Any], user: Path | None = None, environment: dict[str, Any] | None = None, flags: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Settings by precedence: flags over environment over the user's TOML over defaults.
+    A flag that was not given (None) overrides nothing."""
+    given = {k: v for k, v in (flags or {}).items() if v is not None}
+    return merge(defaults, load_toml(user) if user is not None and user.exists() else {}, environment or {}, given)
+
+
 def checksum(doc: dict[str, Any]) -> str:
     return hashlib.sha256(json.dumps(doc, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
