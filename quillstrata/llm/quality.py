@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: DataFrame, shards: int, parts: int, top: int)
     above `top` are scored as `top`."""
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress  # written and shuffled once each
         task = TaskContext.get().partitionId()
         for made, (lang, ids, texts) in enumerate(_runs(batches)):
             sizes = [len(t) for t in texts]
@@ -245,7 +245,8 @@ def score(docs: DataFrame, model: DataFrame, shards: int, parts: int, top: int)
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             hit = key[at] == want if len(key) else np.zeros(len(want), bool)
             got = [np.where(hit, v[at], np.float32("nan")) if len(key) else np.full(len(want), np.nan, np.float32) for v in values]
-            blobs.append(zstandard.ZstdCompressor(level=1).compress(np.concatenate(got).tobytes()))
+            short = np.concatenate(got).view(np.uint32) & np.uint32(0xFFFFFF80)  # 16 bits after the leading one, as much as scores need
+            blobs.append(zstandard.ZstdCompressor(level=3).compress(short.tobytes()))
         none = pa.nulls(len(blobs))
         return pa.table([asked.column("block"), asked.column("cell"), none.cast(pa.int32()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["block", "cell", "lang", "ids", "sizes", "blob"])
 
