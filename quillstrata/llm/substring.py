@@ -289,6 +289,28 @@ def judge_stream(batches: Iterator[pa.RecordBatch], k: int, level: int, hold: in
 REPORT = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
 
+def even_keys(parts: int) -> np.ndarray:
+    """For each of so many shuffle partitions a number that Spark's hash sends there, so
+    that buckets dealt in turn fill partitions evenly.  (Were the hash another one, only
+    the evenness would suffer.)"""
+
+    def turn(x: np.ndarray, r: int) -> np.ndarray:
+        return x << np.uint32(r) | x >> np.uint32(32 - r)
+
+    def blend(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        h = h ^ turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        return turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+
+    key = np.arange(max(1000, 40 * parts), dtype=np.uint32)  # Murmur3 of a long with seed 42
+    h = blend(blend(np.full(len(key), 42, np.uint32), key), np.zeros(len(key), np.uint32)) ^ np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    part = ((h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64)) % parts
+    out = np.arange(parts, dtype=np.int64)
+    out[part[::-1]] = key[::-1]
+    return out
+
+
 def hot_minimisers(slim: DataFrame, volume: int, k: int, m: int) -> np.ndarray:
     """Minimisers of about HOT_WINDOWS windows or more, in order: at most about HOT_MOST."""
 
@@ -320,14 +342,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     slim = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(64, volume // BUCKET_BYTES)
-    shared = docs.sparkSession.sparkContext.broadcast(hot_minimisers(slim, volume, k, m))
+    spark = docs.sparkSession
+    ways_to = even_keys(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast((hot_minimisers(slim, volume, k, m), ways_to))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(run: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            packed, settled = split_run(run, buckets, k, m, shared.value)
+            hot, keys = shared.value
+            packed, settled = split_run(run, buckets, k, m, hot)
             if len(settled):
                 packed.append((int(settled[0, 1]) % buckets, zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", -1) + settled.tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], pa.binary())], names=["bucket", "blob"])
+            bucket = np.array([p[0] for p in packed], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[bucket % len(keys)]), pa.array(bucket), pa.array([p[1] for p in packed], pa.binary())], names=["way", "bucket", "blob"])
 
         run, held = [], 0
         for batch in batches:
@@ -341,13 +367,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         if run:
             yield rows(run)
 
-    due, level, reports = slim.mapInArrow(cut, "bucket long, blob binary"), 1, None
+    due, level, reports = slim.mapInArrow(cut, "way long, bucket long, blob binary"), 1, None
     while True:
         judge = functools.partial(judge_stream, k=k, level=level, hold=HOLD_BYTES)
-        found = write_once(due.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "id long, hash long, first long, last long, bucket long, blob binary"), "reports")
+        dealt = due.repartition("way").sortWithinPartitions("bucket").select("bucket", "blob")
+        found = write_once(dealt.mapInArrow(judge, "id long, hash long, first long, last long, bucket long, blob binary"), "reports")
         own = found.where(F.col("blob").isNull()).select("id", "hash", "first", "last")
         reports = own if reports is None else reports.unionByName(own)
-        due, level = found.where(F.col("blob").isNotNull()).select("bucket", "blob"), level + 1
+        due, level = found.where(F.col("blob").isNotNull()).select(F.col("bucket").alias("way"), "bucket", "blob"), level + 1
         if due.isEmpty():
             return reports.groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
 

@@ -174,6 +174,14 @@ def test_repeats_through_overfull_buckets_and_hot_minimisers(docs, rows, monkeyp
     assert len(rounds) > 2
 
 
+def test_even_keys_reach_every_partition(spark):
+    from pyspark.sql import functions as F
+
+    for parts in (1, 4, 51, 300):
+        keys = spark.createDataFrame([(i, int(k)) for i, k in enumerate(substring.even_keys(parts))], "part int, key long")
+        assert keys.where(F.pmod(F.hash("key"), F.lit(parts)) == F.col("part")).count() == parts
+
+
 def test_hot_minimisers_split_one_bucket():
     """Windows that share a three-word group go to many buckets once it is hot."""
     text = b" ".join(b"%d of the and %d" % (i, i + 1) for i in range(300))
