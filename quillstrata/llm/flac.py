@@ -13,6 +13,8 @@ linear predictors of any order, with the same checks.
 
 store() makes the media column, pcm() the column of PCM blocks behind it, seek() one
 stretch of samples from the nearest seek point, and digest() reads what pcm() made.
+features() is the three in one pass.  All of them take a batch in runs of about CHUNK
+bytes, whatever its number of rows, and hand on a run before they begin the next.
 
 Bytes are stored as signed samples, byte - 128.  PCM is interleaved little-endian, as in
 WAV files: 8 bits and fewer unsigned, more signed.
@@ -38,6 +40,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +50,7 @@ RATE = 8000
 PAD = 32
 #: Samples of a PCM block, at each of which a stream can be entered.
 SEEK = 24 * BLOCK
-#: Payload bytes that are handled at once.
+#: Payload bytes that are handled at once; a longer text is a run of its own.
 CHUNK = 1 << 19
 SHIFT = 6  # of the linear predictor's coefficient
 PRECISION = 8
@@ -201,12 +204,12 @@ def _stream_head(payload: bytes, sizes: list[int]) -> bytes:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Streams of payloads whose lengths are positive multiples of BLOCK."""
     counts = [len(p) // BLOCK for p in payloads]
-    samples = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).reshape(-1, BLOCK)
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     numbers = np.concatenate([np.arange(c) for c in counts])
     frames: list[bytes] = []
     step = CHUNK // BLOCK
     for i in range(0, len(samples), step):
-        frames += encode_frames(samples[i : i + step], numbers[i : i + step].tolist())
+        frames += encode_frames(samples[i : i + step].astype(np.int16) - 128, numbers[i : i + step].tolist())
     out, at = [], 0
     for p, c in zip(payloads, counts, strict=True):
         own = frames[at : at + c]
@@ -279,8 +282,9 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     _need(bool((k < 15).all()), "escaped residual")
     p = p + 10
     bits = np.unpackbits(data)
-    places = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
-    following = np.ascontiguousarray(np.minimum.accumulate(places[::-1])[::-1])  # the next 1 at or after each place
+    following = np.arange(len(bits), dtype=np.int32)  # the next 1 at or after each place
+    np.copyto(following, len(bits), where=bits == 0)
+    np.minimum.accumulate(following[::-1], out=following[::-1])
     # The walk finds where codes begin and where their unary parts stop; values follow in bulk.
     begins, stops = np.zeros((BLOCK, len(rows)), np.int32), np.zeros((BLOCK, len(rows)), np.int32)
     place, step = p.astype(np.int32), (k + 1).astype(np.int32)
@@ -378,8 +382,8 @@ def decode(streams: list[bytes]) -> list[bytes]:
         step = CHUNK // BLOCK
         for f in range(0, len(begin), step):
             low, high = begin[f], end[min(f + step, len(begin)) - 1]
-            pending.append(decode_frames(data[low:high], begin[f : f + step] - low, end[f : f + step] - low))
-        samples = (np.concatenate(pending).ravel() + 128).astype(np.uint8)
+            pending.append((decode_frames(data[low:high], begin[f : f + step] - low, end[f : f + step] - low) + 128).astype(np.uint8))
+        samples = np.concatenate(pending).ravel()
         pending = []
         at = 0
         for s, m in zip(streams[i:j], marks[i:j], strict=True):
@@ -613,57 +617,81 @@ def block_lists(streams: list[bytes], size: int) -> list[list[tuple[int, bytes]]
 
 def feature(payload: bytes) -> str:
     """Facts of the samples read back: count, mean, energy, crossings of the mean."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    mean = int(x.sum()) // len(x)
-    energy = int((x * x).sum()) // len(x)
-    crossings = int(np.count_nonzero(np.diff(x > mean)))
+    x, v = np.frombuffer(payload, np.uint8), np.arange(256) - 128
+    counts = sum(np.bincount(x[i : i + CHUNK], minlength=256) for i in range(0, len(x), CHUNK))
+    mean = int(counts @ v) // len(x)
+    energy = int(counts @ (v * v)) // len(x)
+    crossings = int(np.count_nonzero(np.diff(x > mean + 128)))
     return f"samples={len(x)};mean={mean};energy={energy};crossings={crossings}"
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) in runs of about CHUNK bytes."""
-    run, first, held = [], 0, 0
-    for i, t in enumerate(batch.column(1).to_pylist()):
-        raw = b"" if t is None else t.encode()
-        if run and held + len(raw) > CHUNK:
-            yield first, run
-            run, first, held = [], i, 0
-        run.append(raw)
-        held += len(raw)
-    if run:
-        yield first, run
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of every value: of texts and binaries, and of the PCM in lists of blocks."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        sums, ends = np.cumsum([0, *_sizes(column.flatten().field("pcm"))]), np.cumsum(counts)
+        return sums[ends] - sums[ends - counts]
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def _runs(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about CHUNK bytes; sizes: of its rows."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > CHUNK:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and text to doc_id, n_bytes and media."""
+    for batch in batches:
+        for b in _runs(batch, _sizes(batch.column(1)).tolist()):
+            texts = [t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            media = encode([pad(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media (FLAC stream) of every text."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return slim.mapInArrow(_stored, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, texts in _texts(b):
-                media = encode([pad(t) for t in texts])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
 
 
-def pcm(media: DataFrame, size: int = SEEK) -> DataFrame:
-    """All columns of media (a FLAC stream in `media`) with `blocks`: the PCM blocks of the
-    stream with their sample offsets, in order.  A null stream has no blocks."""
-    columns = [c for c in media.columns if c != "blocks"]
-    at = columns.index("media")
-    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
+def _pcm_size(head: bytes | None) -> int:
+    """Bytes of PCM that a stream says it holds, by its first 26 bytes; 0 if they don't."""
+    if head is None or len(head) < 26:
+        return 0
+    packed = int.from_bytes(head[18:], "big")
+    return (packed & (1 << 36) - 1) * ((packed >> 41 & 7) + 1) * -(-((packed >> 36 & 31) + 1) // 8)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _read_back(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the blocks of column `at`, a FLAC stream, as their last column."""
+    for batch in batches:
+        heads = pc.binary_slice(batch.column(at), 0, 26).to_pylist()
+        sizes = [max(n, _pcm_size(h)) for n, h in zip(_sizes(batch.column(at)).tolist(), heads, strict=True)]
+        for b in _runs(batch, sizes):
             streams = b.column(at).to_pylist()
             listed = iter(block_lists([s for s in streams if s is not None], size))
             found = [None if s is None else [{"sample_offset": o, "pcm": p} for o, p in next(listed)] for s in streams]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*columns, "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, BLOCKS)], names=[*b.schema.names, "blocks"])
 
+
+def pcm(media: DataFrame, size: int = SEEK) -> DataFrame:
+    """All columns of media (a FLAC stream in `media`) with `blocks`: the PCM blocks of the
+    stream with their sample offsets, in order.  A null stream has no blocks."""
+    columns = [c for c in media.columns if c != "blocks"]
+    at = columns.index("media")
     slim = media.select(*[F.col(f"`{c}`") for c in columns])
     wide = T.StructType([*slim.schema.fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])))])
-    return slim.mapInArrow(run, wide)
+    return slim.mapInArrow(lambda batches: _read_back(batches, at, size), wide)
 
 
 def pcm_blocks(media: DataFrame, size: int = SEEK) -> DataFrame:
@@ -671,12 +699,10 @@ def pcm_blocks(media: DataFrame, size: int = SEEK) -> DataFrame:
     return pcm(media.select("doc_id", "media"), size).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.sample_offset", "b.pcm")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Of what pcm() made: doc_id, n_bytes, payload and media digests, feature.  The blocks
-    must follow each other without gaps."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_bytes, media and blocks to what digest() returns."""
+    for batch in batches:
+        for b in _runs(batch, np.maximum(_sizes(batch.column(2)), _sizes(batch.column(3))).tolist()):
             streams, payloads = b.column(2).to_pylist(), []
             for listed in b.column(3).to_pylist():
                 at = 0
@@ -698,6 +724,21 @@ def digest(decoded: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
+
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digest(decoded: DataFrame) -> DataFrame:
+    """Of what pcm() made: doc_id, n_bytes, payload and media digests, feature.  The blocks
+    must follow each other without gaps."""
     slim = decoded.select("doc_id", "n_bytes", "media", "blocks")
+    return slim.mapInArrow(_digested, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
+
+
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SEEK) -> DataFrame:
+    """digest(pcm(store(docs))) in one pass: a run of texts is stored, read back and digested
+    before the next one, so streams and blocks never go through the JVM, and a task has one
+    Python worker rather than three."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return slim.mapInArrow(lambda batches: _digested(_read_back(_stored(batches), 2, size)), f"doc_id {kind}, {DIGEST}")
