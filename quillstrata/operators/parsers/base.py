@@ -197,9 +197,14 @@ def run_one(handler: str, path: str, raw: bytes | str | None, limits: Limits = L
         return Parsed(errors=[f"{type(e).__name__}: {e}"])
 
 
+#: Characters of results (an item counts ITEM of them besides its text) that go to the JVM at once.
+RUN, ITEM = 1 << 20, 200
+
+
 def parse(files: DataFrame, handler: str | Column, key: str, path: str, content: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """key, handler, symbols, chunks, warnings, errors of every file; a file's rows stay
-    in one row, so nothing is shuffled."""
+    in one row, so nothing is shuffled.  Files are taken one by one and results leave in
+    runs, so that a worker holds about one input batch and one run, however many files."""
     name = F.lit(handler) if isinstance(handler, str) else handler
     slim = files.select(F.col(key).cast("string").alias("key"), name.alias("handler"), F.col(path).alias("path"), F.col(content).alias("content"))
     schema = arrow_schema()
@@ -207,9 +212,10 @@ def parse(files: DataFrame, handler: str | Column, key: str, path: str, content:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adopt(known)
+        rows, held = [], 0
         for b in batches:
-            rows = []
-            for k, h, p, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i in range(b.num_rows):
+                k, h, p, t = (c[i].as_py() for c in b.columns)
                 got = run_one(h, p or "", t, limits)
                 rows.append(
                     {
@@ -221,6 +227,11 @@ def parse(files: DataFrame, handler: str | Column, key: str, path: str, content:
                         ],
                     }
                 )
+                held += sum(len(c.text) + ITEM for c in got.chunks) + ITEM * (len(got.symbols) + 1)
+                if held >= RUN:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return slim.mapInArrow(run, SCHEMA)

@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,25 @@ def test_parse_table_and_registry(spark):
 def test_resolve(spark, path, body, want):
     h, r = base.resolve(F.lit(path), F.lit(body), enabled={"markdown", "python"})
     assert tuple(spark.range(1).select(h, r).first()) == want
+
+
+def test_results_leave_in_bounded_runs(spark):
+    """A batch of many pages, with deep nesting, gives the same rows in record batches of about one run."""
+
+    class Grab:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    page = "<div>" * 20 + "<p>" + "word " * 300 + "</p><script>f()</script>" + "</div>" * 20
+    rows = [{"key": str(i), "handler": "html", "path": f"p{i}", "content": page if i % 7 else None} for i in range(1000)]
+    found = list(base.parse(Grab(), "html", "key", "path", "content").run(iter([pa.RecordBatch.from_pylist(rows[:700]), pa.RecordBatch.from_pylist(rows[700:])])))
+    assert max(b.nbytes for b in found) < 4 << 20 and len(found) > 5
+    got = [r for b in found for r in b.to_pylist()]
+    assert [r["key"] for r in got] == [r["key"] for r in rows]
+    want = [base.run_one("html", r["path"], r["content"]) for r in rows]
+    assert [[c["content_text"] for c in r["chunks"]] for r in got] == [[c.text for c in w.chunks] for w in want]
+    assert [[s["symbol_id"] for s in r["symbols"]] for r in got] == [[s.symbol_id for s in w.symbols] for w in want]
