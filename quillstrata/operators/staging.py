@@ -86,14 +86,15 @@ def renumber_parts(slices: DataFrame) -> DataFrame:
     return slices.withColumns({"part_total": F.count("*").over(chunk).cast("int"), "part_index": (F.row_number().over(chunk.orderBy("part_index")) - 1).cast("int")})
 
 
-def _signed(slices: DataFrame, side: str) -> DataFrame:
-    """Keys, times and a digest of the signature: what reuse is decided on, without texts."""
-    never, no_one = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
-    old = side == "old"
-    return slices.select(
-        *SLICE_KEY, F.lit(old).alias("old"), F.unhex(F.md5(F.to_json(F.struct(*SIGNATURE)).cast("binary"))).alias("sig"),
-        *[(F.col(c) if old else no_one).alias(c) for c in ("batch_id", "first_seen_batch", "last_seen_batch")], *[(F.col(c) if old else never).alias(c) for c in ("created_at", "updated_at")],
-    )
+MARKS = {"batch_id": "string", "first_seen_batch": "string", "last_seen_batch": "string", "created_at": "timestamp", "updated_at": "timestamp"}
+
+
+def _signed(slices: DataFrame, columns: list[str], old: bool) -> DataFrame:
+    """One side's slices with a digest of their signature.  It is made before rows move, so
+    that columns which only the signature has need not."""
+    digest = F.unhex(F.md5(F.to_json(F.struct(*[c for c in SIGNATURE if c in slices.columns])).cast("binary")))
+    own = [F.col(c) if old or c not in MARKS else F.lit(None).cast(MARKS[c]).alias(c) for c in columns]
+    return slices.select(*own, F.lit(old).alias("__old"), digest.alias("__sig"))
 
 
 def _widened(df: DataFrame, other: DataFrame) -> DataFrame:
@@ -103,29 +104,30 @@ def _widened(df: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def decide(old: DataFrame, new: DataFrame, batch: str) -> DataFrame:
-    """What becomes of every old and new slice: its key, old, batch_id, op (insert, update,
-    touch, keep, or drop) and, of rows that are written, created_at and first_seen_batch.
+    """Every old and new slice with __old, what becomes of it (__op: insert, update, touch,
+    keep, or drop) and, for rows that are written, __held_at and __first_seen.
 
-    Old and new rows meet once by chunk; all windows below are over that one distribution.
+    Old and new rows, texts and all, meet once, by file; all windows below are over that
+    one distribution, and what groups by file or chunk afterwards finds it in place.
     """
-    rows = _signed(old, "old").unionByName(_signed(new, "new")).repartition("file_id", "chunk_id")
-    part, chunk = Window.partitionBy(*SLICE_KEY), Window.partitionBy("file_id", "chunk_id")
-    newest = F.row_number().over(Window.partitionBy(*SLICE_KEY, "old").orderBy(F.desc("updated_at"), F.desc("last_seen_batch"))) == 1
-    rows = rows.withColumn("latest", F.col("old") & newest)
-    now, before = F.max(F.when(~F.col("old"), F.col("sig"))).over(part), F.max(F.when(F.col("latest"), F.col("sig"))).over(part)
-    held = F.max(F.when(F.col("old") & (F.col("batch_id") == batch), F.struct("created_at", "first_seen_batch"))).over(part)
-    rows = rows.withColumns({"same": F.coalesce(now == before, F.lit(False)), "renewed": now.isNotNull(), "held": held})
-    counts = F.col("latest") | ~F.col("old")
-    born = F.min(F.when(F.col("old"), F.struct("created_at", "first_seen_batch"))).over(chunk)
-    rows = rows.withColumns({"given": F.max(~F.col("old")).over(chunk), "reused": F.every(~counts | F.col("same")).over(chunk), "born": born})
-    written = F.col("given") & ~F.col("reused")
-    op_old = F.when(F.col("latest") & F.col("given") & F.col("reused"), "touch").when(written & F.col("renewed") & (F.col("batch_id") == batch), "drop").otherwise("keep")
-    op_new = F.when(~written, "drop").when(F.col("held").isNull(), "insert").otherwise("update")
-    first = F.coalesce("held.first_seen_batch", "born.first_seen_batch", F.lit(batch))
-    return rows.select(*SLICE_KEY, "old", "batch_id", F.when(F.col("old"), op_old).otherwise(op_new).alias("op"), F.col("held.created_at").alias("held_at"), first.alias("first_seen"))
-
-
-def persist_slices(old: DataFrame, new: DataFrame, batch: str, at: Column) -> DataFrame:
+    rows = _signed(old, old.columns, True).unionByName(_signed(new, old.columns, False)).repartition("file_id")
+    is_old, part, chunk = F.col("__old"), Window.partitionBy(*SLICE_KEY), Window.partitionBy("file_id", "chunk_id")
+    newest = F.row_number().over(Window.partitionBy(*SLICE_KEY, "__old").orderBy(F.desc("updated_at"), F.desc("last_seen_batch"))) == 1
+    rows = rows.withColumn("__latest", is_old & newest)
+    now, before = F.max(F.when(~is_old, F.col("__sig"))).over(part), F.max(F.when(F.col("__latest"), F.col("__sig"))).over(part)
+    held = F.max(F.when(is_old & (F.col("batch_id") == batch), F.struct("created_at", "first_seen_batch"))).over(part)
+    rows = rows.withColumns({"__same": F.coalesce(now == before, F.lit(False)), "__renewed": now.isNotNull(), "__held": held})
+    counts = F.col("__latest") | ~is_old
+    born = F.min(F.when(is_old, F.struct("created_at", "first_seen_batch"))).over(chunk)
+    rows = rows.withColumns({"__given": F.max(~is_old).over(chunk), "__reused": F.every(~counts | F.col("__same")).over(chunk), "__born": born})
+    written = F.col("__given") & ~F.col("__reused")
+    op_old = F.when(F.col("__latest") & F.col("__given") & F.col("__reused"), "touch").when(written & F.col("__renewed") & (F.col("batch_id") == batch), "drop").otherwise("keep")
+    op_new = F.when(~written, "drop").when(F.col("__held").isNull(), "insert").otherwise("update")
+    first = F.coalesce("__held.first_seen_batch", "__born.first_seen_batch", F.lit(batch))
+    return rows.select(*old.columns, "__old", F.when(is_old, op_old).otherwise(op_new).alias("__op"), F.col("__held.created_at").alias("__held_at"), first.alias("__first_seen"))
+
+
+def persist_slices(old: DataFrame | None, new: DataFrame, batch: str, at: Column) -> DataFrame:
     """The slice table after a batch, with op: insert, update, touch or keep.
 
     A chunk all of whose parts equal their latest versions is reused: its rows keep
@@ -133,18 +135,21 @@ def persist_slices(old: DataFrame, new: DataFrame, batch: str, at: Column) -> Da
     anew, with the first-seen batch of its oldest version.  Chunks the batch does not
     name stay as they are, so reading by last_seen_batch no longer shows them.
 
-    Reuse is decided on keys and digests; texts are fetched once, by the decisions.  A
-    column that one side lacks (a store from before it was added) is null there.
+    Either side is read once.  A column that one side lacks (a store from before it was
+    added) is null there.  Without an old table (None) every slice is an insert.
     """
+    if old is None:
+        first = {"batch_id": F.lit(batch), "created_at": at, "updated_at": at, "first_seen_batch": F.lit(batch), "last_seen_batch": F.lit(batch)}
+        return new.withColumns(first).withColumn("op", F.lit("insert"))
     old, new = _widened(old, new), _widened(new, old)
-    made = decide(old, new, batch).where("op != 'drop'")
-    was = made.where("old").select("batch_id", *SLICE_KEY, "op")
-    touch = F.col("op") == "touch"
-    moved = old.join(was, ["batch_id", *SLICE_KEY]).withColumns({"last_seen_batch": F.when(touch, F.lit(batch)).otherwise(F.col("last_seen_batch")), "updated_at": F.when(touch, at).otherwise(F.col("updated_at"))})
-    due = made.where(~F.col("old")).select(*SLICE_KEY, "op", "held_at", "first_seen")
-    written = new.drop("batch_id", "first_seen_batch", "last_seen_batch", "created_at", "updated_at").join(due, SLICE_KEY)
-    written = written.withColumns({"batch_id": F.lit(batch), "first_seen_batch": F.col("first_seen"), "last_seen_batch": F.lit(batch), "created_at": F.coalesce("held_at", at), "updated_at": at})
-    return moved.select(*old.columns, "op").unionByName(written.select(*old.columns, "op"))
+    made = decide(old, new, batch).where("__op != 'drop'")
+    fresh, op = ~F.col("__old"), F.col("__op")
+    seen = fresh | (op == "touch")
+    moved = {
+        "batch_id": F.when(fresh, F.lit(batch)).otherwise(F.col("batch_id")), "first_seen_batch": F.when(fresh, F.col("__first_seen")).otherwise(F.col("first_seen_batch")), "last_seen_batch": F.when(seen, F.lit(batch)).otherwise(F.col("last_seen_batch")),
+        "created_at": F.when(fresh, F.coalesce("__held_at", at)).otherwise(F.col("created_at")), "updated_at": F.when(seen, at).otherwise(F.col("updated_at")),
+    }
+    return made.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in old.columns], op.alias("op"))
 
 
 def touch_chunks(slices: DataFrame, chunks: DataFrame, batch: str, at: Column) -> DataFrame:

@@ -34,7 +34,7 @@ def payloads(chunks: DataFrame, symbols: DataFrame, files: DataFrame, include_un
     how = "left" if include_unsymbolized else "inner"
     s = symbols.select(F.col("id").alias("symbol_id"), "symbol_path", "kind")
     f = files.select(F.col("id").alias("file_id"), "repo_path")
-    joined = chunks.join(s, "symbol_id", how).join(f, "file_id")
+    joined = chunks.join(f, "file_id").join(s, "symbol_id", how)  # recomposed chunks lie by file already
     path = F.coalesce("symbol_path", "chunk_id")
     head = header(path, F.col("repo_path"), F.coalesce("kind", F.lit("chunk")), F.col("chunk_id"), F.col("handler_name"), F.col("handler_version"), F.col("start_line"), F.col("end_line"))
     return joined.select("file_id", "chunk_id", "symbol_id", head.alias("header_md"), F.col("text").alias("body_text"), "token_count")
@@ -49,12 +49,13 @@ def missing_references(chunks: DataFrame, symbols: DataFrame, files: DataFrame)
 
 def materialize(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """The chunk table (symbol_id, header_md, body_text, token_count) after payloads, with
-    op; of several payloads of a symbol the last in chunk order wins."""
-    won = new.groupBy("symbol_id").agg(F.max_by(F.struct("header_md", "body_text", "token_count"), F.struct("chunk_id", "file_id")).alias("p"), F.count("*").alias("payloads"))
+    op; of several payloads of a symbol the last in chunk order wins.  Each column is taken
+    on its own, so that one nobody asks for does not move."""
+    won = new.groupBy("symbol_id").agg(*[F.max_by(c, F.struct("chunk_id", "file_id")).alias(c) for c in ("header_md", "body_text", "token_count")], F.count("*").alias("payloads"))
     o, n = chunks.alias("o"), won.alias("n")
     joined = o.join(n, F.col("o.symbol_id") == F.col("n.symbol_id"), "full")
-    op = F.when(F.col("n.p").isNull(), "keep").when(F.col("o.symbol_id").isNull(), "insert").otherwise("update")
-    pick = lambda c: F.coalesce(F.col(f"n.p.{c}"), F.col(f"o.{c}")).alias(c)
+    op = F.when(F.col("n.payloads").isNull(), "keep").when(F.col("o.symbol_id").isNull(), "insert").otherwise("update")
+    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
     return joined.select(F.coalesce("o.symbol_id", "n.symbol_id").alias("symbol_id"), pick("header_md"), pick("body_text"), pick("token_count"), op.alias("op"), F.coalesce("payloads", F.lit(0)).alias("payloads"))
 
 

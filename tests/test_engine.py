@@ -102,6 +102,43 @@ def test_reuse_over_three_batches(spark):
     assert [(r["op"], r["content_text"], str(r["created_at"])[:10]) for r in redo] == [("update", "newer", "2024-01-03")]
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_staging_moves_either_side_once(spark):
+    a = slices(spark, [("f", "c1", 0, 1, "x"), ("f", "c2", 0, 1, "y")])
+    one = staging.persist_slices(None, a, "b1", AT(1))
+    assert shuffles(one) == 0 and {(r["op"], r["batch_id"], r["last_seen_batch"]) for r in one.collect()} == {("insert", "b1", "b1")}
+    generic = staging.persist_slices(ingest.empty(a, ingest.SLICES), a, "b1", AT(1))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, generic.select(one.columns).collect()))
+    two = staging.persist_slices(one.drop("op"), slices(spark, [("f", "c1", 0, 1, "x"), ("f", "c2", 0, 1, "z"), ("f", "c2", 0, 1, "z")]), "b2", AT(2))
+    assert shuffles(two) == 1
+    # a slice that a batch has twice is written twice, not as often as its pairs
+    assert sorted((r["chunk_id"], r["op"]) for r in two.collect()) == [("c1", "touch"), ("c2", "insert"), ("c2", "insert"), ("c2", "keep")]
+
+
+#: Shuffles of each query, and what it may write in between.
+STAGED = {
+    "stage_second_batch": (1, []), "active_slices": (1, []), "strict_slices": (1, []), "slice_history": (1, []), "stage_outcomes": (1, []), "run_summary_text": (1, []),
+    "batch_summary": (7, []), "batch_removal_counts": (9, ["file_id batch_id first_seen_batch last_seen_batch"]), "batch_removal_state": (1, ["file_id batch_id first_seen_batch last_seen_batch"]),
+    "chunk_payloads": (7, []), "chunk_upsert_counts": (17, []), "sync_limit": (17, []), "sync_plan": (1, ["symbol_id"]),
+}
+
+
+@pytest.mark.parametrize("name", STAGED)
+def test_staged_queries_move_and_write_little(spark, sf, monkeypatch, name):
+    written, plain = [], queries.settle
+
+    def settle(df, label):
+        written.append(" ".join(df.columns))
+        return plain(df, label)
+
+    monkeypatch.setattr(queries, "settle", settle)
+    moved = shuffles(queries.QUERIES[name](spark, sf))
+    assert moved <= STAGED[name][0] and written == STAGED[name][1]
+
+
 def test_small_staging_operators(spark):
     b = spark.createDataFrame([("b1", "x")], "id string, notes string")
     assert sorted(tuple(r) for r in staging.upsert_batches(b, spark.createDataFrame([("b1", "y"), ("b2", "z")], "id string, notes string")).collect()) == [("b1", "y"), ("b2", "z")]
