@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 METRICS = {"cosine": "ip", "ip": "ip", "inner_product": "ip", "l2": "l2", "euclidean": "l2"}
 #: Bytes of queries that go to the vectors at once (65,536 of 64 doubles), and of the
-#: scores that a task holds at once.
-QUERY_BYTES, MATRIX_BYTES = 32 << 20, 128 << 20
+#: scores that a task holds at once (it works on a few matrices of that size).
+QUERY_BYTES, MATRIX_BYTES = 32 << 20, 16 << 20
 
 
 class VectorError(ValueError):
@@ -150,29 +150,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nearest(q: np.ndarray, v: np.ndarray, bound: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, vector rows and scores of the k best pairs of every query, with those
+    that tie with the last of them and without those behind the query's bound (the k-th
+    score so far, or no number).  Products are summed in the order of the dimensions, as a
+    fold over them would, in place: two matrices, and one of booleans."""
+    s, part = np.zeros((len(q), len(v))), np.empty((len(q), len(v)))
+    for d in range(v.shape[1]):
+        if kind == "ip":
+            np.multiply(q[:, d, None], v[None, :, d], out=part)
+        else:
+            np.subtract(q[:, d, None], v[None, :, d], out=part)
+            np.multiply(part, part, out=part)
+        s += part
+    behind = np.less if kind == "ip" else np.greater
+    out = behind(s, bound[:, None])
+    if len(v) > k:
+        (np.negative if kind == "ip" else np.positive)(s, out=part)
+        part.partition(k - 1, axis=1)
+        last = part[:, k - 1, None]
+        out |= behind(s, -last if kind == "ip" else last)  # what is no number is never behind, and loses the ranking
+    r, c = np.nonzero(~out)
+    return r, c, s[r, c]
+
+
+def _best(rows: list[np.ndarray], k: int, kind: str) -> list[np.ndarray]:
+    """Of query rows, ids and scores the k best of every query, by score and id."""
+    r, i, s = rows
+    order = np.lexsort((i, -s if kind == "ip" else s, r))
+    r = r[order]
+    kept = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+    return [x[kept] for x in rows]
+
+
 def _partial(vectors: DataFrame, ids: np.ndarray, rows: np.ndarray, k: int, kind: str, key: str, query_key: str, column: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids.astype(np.int64), rows.astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        keep_s, keep_i = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
+        found, bound = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], np.full(len(qid), np.nan)
         step = max(16, MATRIX_BYTES // (8 * max(1, len(qid))))
         for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             i = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            # products are summed in the order of the dimensions, as a fold over them would
-            s = np.zeros((len(qid), len(i)))
-            for d in range(v.shape[1]):
-                if kind == "ip":
-                    s += q[:, d, None] * v[None, :, d]
-                else:
-                    gap = q[:, d, None] - v[None, :, d]
-                    s += gap * gap
-            s, i = np.concatenate([keep_s, s], 1), np.concatenate([keep_i, np.broadcast_to(i, (len(qid), len(i)))], 1)
-            order = np.lexsort((i, -s if kind == "ip" else s), axis=1)[:, :k]
-            keep_s, keep_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = keep_s.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(keep_i.ravel()), pa.array(keep_s.ravel())], names=[query_key, key, "score"])
+            r, c, s = _nearest(q, v, bound, k, kind)
+            found = _best([np.concatenate(x) for x in zip(found, (r, i[c], s), strict=True)], k, kind)
+            ends = np.cumsum(np.bincount(found[0], minlength=len(qid)))
+            whole_k = np.diff(ends, prepend=0) == k
+            bound[whole_k] = found[2][ends[whole_k] - 1]
+        r, i, s = found
+        yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(i), pa.array(s)], names=[query_key, key, "score"])
 
     return vectors.select(F.col(key).cast("long"), column).mapInArrow(run, f"{query_key} long, {key} long, score double")
 

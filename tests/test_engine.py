@@ -3,9 +3,11 @@
 import json
 import threading
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +220,48 @@ def test_search_equals_brute_force(spark):
         assert {(r["query_id"], r["vec_id"]): r["rank"] for r in vectors.search(v, q, 10, metric).collect()} == want
 
 
+class Task:
+    """Stands for a DataFrame and its session: what mapInArrow would run in a worker is kept."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("kind", ["ip", "l2"])
+@pytest.mark.parametrize("data", ["random", "ties", "equal"])
+def test_search_holds_little_at_once(spark, kind, data):
+    rng = np.random.default_rng(2)
+    x = {"random": rng.normal(size=(6000, 4)), "ties": rng.integers(0, 3, (6000, 4)).astype(float), "equal": np.ones((6000, 4))}[data].astype(np.float32)
+    ids = rng.permutation(6000) * 3
+    q = np.concatenate([x[:1500]] * 2).astype(np.float64)
+    task = vectors._partial(Task(), np.arange(3000), q, 5, kind, "vec_id", "query_id", "embedding")
+    batch = [pa.RecordBatch.from_arrays([pa.array(i), pa.array(list(v))], names=["vec_id", "embedding"]) for i, v in zip(np.split(ids, 2), np.split(x, 2), strict=True)]
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(task.run(iter(batch))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 256 << 20
+    got = {}
+    for a, b in zip(out["query_id"].to_pylist(), out["vec_id"].to_pylist(), strict=True):
+        got.setdefault(a, []).append(b)
+    for n in range(0, 3000, 97):
+        terms = q[n] * x.astype(float) if kind == "ip" else (q[n] - x.astype(float)) ** 2
+        s = ((terms[:, 0] + terms[:, 1]) + terms[:, 2]) + terms[:, 3]
+        assert sorted(got[n]) == sorted(ids[np.lexsort((ids, -s if kind == "ip" else s))[:5]].tolist())
+
+
 def test_materialize_and_plan(spark):
     kind = "symbol_id string, header_md string, body_text string, token_count long"
     old = spark.createDataFrame([("s1", "h", "old", 1), ("s9", "h", "stays", 1)], kind)
